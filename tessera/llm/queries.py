@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, common, media, packing
+from . import binary_output, common, language_id, media, near_dedup, packing, quality
 
 
 def _vocabulary(name: str) -> str:
@@ -20,6 +20,21 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, _vocabulary("byte_bpe_50k.json"), end_id=0, length=1024, keep_ids=False).drop("ids")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text for quality."""
+    docs = common.table(spark, sf_dir, "documents")
+    model = quality.learn(docs, common.table(spark, sf_dir, "labels"), ~common.fold("doc_id", 5, 0))
+    found = quality.score(docs, model)
+    return found.select("doc_id", common.fold("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of every text."""
+    docs = common.table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.learn(docs, ~common.fold("doc_id", 4, 2)))
+    return found.select("doc_id", common.fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an image and describe what is read back."""
     docs = common.table(spark, sf_dir, "documents")
@@ -27,6 +42,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("phash")).alias("feature"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link documents whose shingle sets share 85 % and keep one of each component."""
+    return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85, size=5)
+
+
 def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all ids to Arrow files and describe what is read back."""
     docs = common.table(spark, sf_dir, "documents")
@@ -34,5 +54,5 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read_files(spark, files)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op8_media, op10_binary_output)}
+QUERIES = {f.__name__: f for f in (op2_packing, op5_quality, op7_language, op8_media, op9_near_dedup, op10_binary_output)}
 ORACLES: dict[str, str] = {}
