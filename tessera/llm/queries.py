@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, common, language_id, media, near_dedup, packing, quality
+from . import binary_output, common, language_id, media, near_dedup, neighbours, packing, quality
 
 
 def _vocabulary(name: str) -> str:
@@ -28,6 +28,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.fold("doc_id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth one, among all."""
+    return neighbours.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of every text."""
     docs = common.table(spark, sf_dir, "documents")
@@ -54,5 +59,5 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read_files(spark, files)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_quality, op7_language, op8_media, op9_near_dedup, op10_binary_output)}
+QUERIES = {f.__name__: f for f in (op2_packing, op5_quality, op6_neighbours, op7_language, op8_media, op9_near_dedup, op10_binary_output)}
 ORACLES: dict[str, str] = {}
