@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, common, language_id, media, near_dedup, neighbours, packing, quality
+from . import binary_output, common, language_id, line_dedup, media, near_dedup, neighbours, packing, quality
 
 
 def _vocabulary(name: str) -> str:
@@ -20,6 +20,34 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, _vocabulary("byte_bpe_50k.json"), end_id=0, length=1024, keep_ids=False).drop("ids")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop lines that an earlier document has."""
+    found = line_dedup.dedup_lines(common.table(spark, sf_dir, "documents"), min_chars=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+LINE_DEDUP_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), keyed AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), owners AS (
+  SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), judged AS (
+  SELECT k.doc_id, k.pos, k.line, o.owner IS NOT NULL AND k.doc_id > o.owner AS gone
+  FROM keyed k LEFT JOIN owners o ON k.key = o.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS BIGINT)) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every text for quality."""
     docs = common.table(spark, sf_dir, "documents")
@@ -59,5 +87,5 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read_files(spark, files)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_quality, op6_neighbours, op7_language, op8_media, op9_near_dedup, op10_binary_output)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_line_dedup, op5_quality, op6_neighbours, op7_language, op8_media, op9_near_dedup, op10_binary_output)}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
