@@ -2,28 +2,58 @@
 
 Byte-pair merges never cross a pre-token, and pre-tokens never run from a non-space character into
 white space. So a text whose words are separated by single spaces or newlines can be encoded word
-by word, and words repeat: only words that the worker has not seen lately reach the library, many
-at a time. Every other text goes to the library whole. Both ways give the library's ids for the text.
+by word, and words repeat: only words that the worker has not seen lately reach the library. A word
+of letters with punctuation after it is two pre-tokens; its letters, written in the vocabulary's
+byte alphabet, go straight to the library's merge model. Every other text goes to the library whole.
+All ways give the library's ids for the text.
 """
 
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words that one worker remembers per position; at the bound it forgets them all.
-CACHE_WORDS = 600_000
-#: Characters of text whose unknown words are encoded together.
-BATCH_CHARS = 1_000_000
+#: Words, and stems of words, that one worker remembers per position; at the bound it forgets them all.
+CACHE_WORDS = 1_000_000
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def byte_alphabet() -> list[str]:
+    """How byte-level vocabularies write each byte: printable ones as they are, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+class _Odd(Exception):
+    """A text that must be encoded whole."""
+
+
+class _Words(dict):
+    """Word -> the bytes of its ids."""
+
+    def __init__(self, encode, bound: int):
+        super().__init__()
+        self.encode, self.bound = encode, bound
+
+    def __missing__(self, word: str) -> bytes:
+        if "\n" in word:  # the end of a line and the start of the next: too many to keep
+            return self.encode(word)
+        if len(self) >= self.bound:
+            self.clear()
+        got = self[word] = self.encode(word)
+        return got
 
 
 class Encoder:
     """Encodes texts into the bytes of their ids.
 
     ``keeps_space`` tells a vocabulary that encodes white space (a leading space belongs to the
-    word, a newline is a token) from one that drops it.
+    word, a newline is a token) from one that drops it and lower-cases.
     """
 
     def __init__(self, path: str, dtype: str, keeps_space: bool, cache_words: int = CACHE_WORDS):
@@ -32,82 +62,64 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype, self.keeps_space, self.cache_words = np.dtype(dtype), keeps_space, cache_words
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        #: A word of its own that no cached word holds, and its id; it separates words encoded together.
-        self.between, self.mark = ("\n", "\n") if keeps_space else (" \x01 ", "\x01")
+        self.merge = self.tokenizer.model.tokenize
+        self.dtype, self.keeps_space = np.dtype(dtype), keeps_space
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.letters = byte_alphabet()
+        self.first = _Words(lambda w: self._word(w, ""), cache_words)
+        self.later = _Words(lambda w: self._piece(w), cache_words)
+        self.stems = _Words(self._stem, cache_words)
+        self.ends = _Words(self.whole, 50_000)
         self.newline = self.whole("\n") if keeps_space else b""
-        self.mark_id = int(self._ids(self.mark)[0])
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
     def whole(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
-
-    def _learn(self, words: set[str], cache: dict[str, bytes], lead: str) -> None:
-        new = [w for w in words if w not in cache]
-        if len(cache) + len(new) > self.cache_words:
-            cache.clear()
-            new = list(words)
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            ids = self._ids(self.between.join([lead + w for w in part]))
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(part) - 1:
-                cache.update((w, self.whole(lead + w)) for w in part)
-                continue
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            starts = [0, *((ends + 1) * size).tolist()]
-            stops = [*(ends * size).tolist(), len(raw)]
-            cache.update(zip(part, map(raw.__getitem__, map(slice, starts, stops)), strict=True))
-
-    def _lines(self, text: str) -> list[list[str]] | None:
-        """The words of each line, or None for a text that must be encoded whole."""
-        words = text.split()
-        if not words or "<|" in text or any(c in text for c in "\x01\x1c\x1d\x1e\x1f"):
-            return None
-        if not self.keeps_space:
-            return [words]
-        gaps = len(words) - 1
-        if text.count(" ") + text.count("\n") != gaps or sum(map(len, words)) + gaps != len(text):
-            return None
-        return [line.split(" ") for line in text.split("\n")]
-
-    def _batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [self._lines(t) if t else None for t in texts]
-        first, later = set(), set()
-        for lines in filter(None, split):
-            for line in lines:
-                if self.keeps_space:
-                    first.add(line[0])
-                    later.update(line[1:])
-                else:
-                    first.update(line)
-        self._learn(first, self.first, "")
-        self._learn(later, self.later, " ")
-        a, b = self.first.__getitem__, self.later.__getitem__
-        for text, lines in zip(texts, split, strict=True):
-            if not text:
-                yield b""
-            elif lines is None:
-                yield self.whole(text)
-            elif self.keeps_space:
-                yield self.newline.join([a(line[0]) + b"".join(map(b, line[1:])) for line in lines])
-            else:
-                yield b"".join(map(a, lines[0]))
+        return self._pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids) if text else b""
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _stem(self, stem: str) -> bytes:
+        if not stem.isascii():
+            stem = "".join([self.letters[b] for b in stem.encode()])
+        elif stem[0] == " ":
+            stem = self.letters[32] + stem[1:]
+        return self._pack([t.id for t in self.merge(stem)])
+
+    def _word(self, word: str, lead: str) -> bytes:
+        if not word or "<|" in word:
+            raise _Odd
+        stem = word.rstrip(PUNCTUATION)
+        if stem.isalpha():
+            end = word[len(stem) :]
+            if not self.keeps_space:
+                stem = (stem if stem.isascii() else unicodedata.normalize("NFC", stem)).lower()
+            if stem.isascii() or (stem.isalpha() and "ς" not in stem and "σ" not in stem):
+                return self.stems[lead + stem] + (self.ends[end] if end else b"")
+        if len(word.split()) != 1:
+            raise _Odd
+        return self.whole(lead + word)
+
+    def _piece(self, piece: str) -> bytes:
+        """What stands between two spaces."""
+        word, *rest = piece.split("\n")
+        return self.newline.join([self._word(word, " "), *map(self.first.__getitem__, rest)])
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, as little-endian bytes of ``dtype``; nothing for an empty or null text."""
-        held, chars = [], 0
         for text in texts:
-            held.append(text)
-            chars += len(text or "")
-            if chars >= BATCH_CHARS:
-                yield from self._batch(held)
-                held, chars = [], 0
-        yield from self._batch(held)
+            try:
+                if not text:
+                    yield b""
+                elif self.keeps_space:
+                    head, *tail = text.split(" ")
+                    start = self.newline.join(map(self.first.__getitem__, head.split("\n")))
+                    yield start + b"".join(map(self.later.__getitem__, tail))
+                else:
+                    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
+                        raise _Odd
+                    yield b"".join(map(self.first.__getitem__, text.split()))
+            except _Odd:
+                yield self.whole(text)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
