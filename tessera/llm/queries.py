@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, common, language_id, line_dedup, media, near_dedup, neighbours, packing, quality
+from . import binary_output, common, language_id, line_dedup, media, mixing, near_dedup, neighbours, packing, quality
 
 
 def _vocabulary(name: str) -> str:
@@ -14,6 +14,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates that flatten the shares of the languages, with soft membership."""
+    docs = common.table(spark, sf_dir, "documents")
+    return mixing.mix(docs, docs, domain="lang", flatten=0.7).select("doc_id", "domain", "membership", "n_tokens", "rate", "copies")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 ids."""
     docs = common.table(spark, sf_dir, "documents")
@@ -87,5 +93,5 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read_files(spark, files)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_line_dedup, op5_quality, op6_neighbours, op7_language, op8_media, op9_near_dedup, op10_binary_output)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_line_dedup, op5_quality, op6_neighbours, op7_language, op8_media, op9_near_dedup, op10_binary_output)}
 ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
