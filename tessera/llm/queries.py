@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import binary_output, common, language_id, line_dedup, media, mixing, near_dedup, neighbours, packing, quality
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -23,7 +23,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 ids."""
     docs = common.table(spark, sf_dir, "documents")
-    return packing.pack(docs, _vocabulary("byte_bpe_50k.json"), end_id=0, length=1024, keep_ids=False).drop("ids")
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, length=1024, keep_ids=False).drop("ids")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all ids to Arrow files and describe what is read back."""
     docs = common.table(spark, sf_dir, "documents")
-    files = binary_output.write_files(docs, common.work_path(spark, "ids"), _vocabulary("word_bpe_49k.json"))
+    files = binary_output.write_files(docs, common.work_path(spark, "ids"), vocabulary("word_bpe_49k.json"))
     return binary_output.read_files(spark, files)
 
 
