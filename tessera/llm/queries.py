@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, common, language_id, line_dedup, media, mixing, near_dedup, neighbours, packing, quality
+from . import binary_output, common, language_id, language_model, line_dedup, media, mixing, near_dedup, neighbours, packing, quality
 
 
 def vocabulary(name: str) -> str:
@@ -54,6 +54,11 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text by a Pitman-Yor model of the training documents."""
+    return language_model.score(common.table(spark, sf_dir, "documents"), common.fold("doc_id", 7, 2))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every text for quality."""
     docs = common.table(spark, sf_dir, "documents")
@@ -93,5 +98,5 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.read_files(spark, files)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_line_dedup, op5_quality, op6_neighbours, op7_language, op8_media, op9_near_dedup, op10_binary_output)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_line_dedup, op4_language_model, op5_quality, op6_neighbours, op7_language, op8_media, op9_near_dedup, op10_binary_output)}
 ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
