@@ -165,13 +165,18 @@ class LineIndex:
         before = self.repeated
         self.refs, self.repeated = refs, common.persist(self._count(refs), "repeated")
         if before is None:
-            n = self.repeated.count()
-            self.shards = max(1, -(-n // SHARD_KEYS))
-            self.filters = common.persist(self._build(self.repeated), "filters")
+            self._rebuild()
             return
         add = self.repeated.join(before, "digest", "left_anti").select("digest", F.lit(1).alias("change"))
         cut = before.join(self.repeated, "digest", "left_anti").select("digest", F.lit(-1).alias("change"))
         self.filters = common.persist(self._change(add.unionAll(cut)), "filters")
+        if self.filters.filter("filter is null").limit(1).count():  # a shard is full
+            self._rebuild()
+
+    def _rebuild(self) -> None:
+        """All filters anew from the exact table, with shards for its present size."""
+        self.shards = max(1, -(-self.repeated.count() // SHARD_KEYS))
+        self.filters = common.persist(self._build(self.repeated), "filters")
 
     def _build(self, repeated: DataFrame) -> DataFrame:
         shards = self.shards
@@ -195,9 +200,8 @@ class LineIndex:
             add = [d for d, c in zip(digests, change, strict=True) if c > 0]
             made = Cuckoo.from_bytes(left.column("filter")[0].as_py()) if left.num_rows else Cuckoo(len(add))
             made.delete([d for d, c in zip(digests, change, strict=True) if c < 0])
-            if not made.insert(add):
-                raise OverflowError("shard is full: build the index anew with more shards")
-            return pa.table({"shard": [key[0].as_py()], "filter": [made.to_bytes()]})
+            kept = made.to_bytes() if made.insert(add) else None
+            return pa.table({"shard": [key[0].as_py()], "filter": pa.array([kept], pa.binary())})
 
         right = changes.select("digest", "change", self._shard_of(shards)).groupBy("shard")
         return self.filters.groupBy("shard").cogroup(right).applyInArrow(run, "shard long, filter binary")
