@@ -32,6 +32,8 @@ from .shingles import band_keys, min_max, permutations, shingle_set
 
 #: Classes of a bucket that one task compares with each other, or with as many others.
 BLOCK = 2048
+#: Ids of classes with company that are sent to all tasks; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: How far a signature's estimate may lie below the threshold.
 MARGIN = 0.16
 
@@ -109,6 +111,7 @@ def _suspects(percent: int):
         n = table.num_rows
         ids, labels, part = (table.column(c).to_numpy() for c in ("id", "label", "part"))
         short = np.frombuffer(b"".join(table.column("short").to_pylist()), "<u2").reshape(n, -1)
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
         hit = np.zeros(n, bool)
         for at in range(0, n, 64):
             mine = slice(at, min(n, at + 64))
@@ -116,7 +119,10 @@ def _suspects(percent: int):
             close &= labels[mine, None] != labels[None, :]
             if low != high:
                 close &= part[mine, None] != part[None, :]
-            hit[mine] |= close.any(1)
+            i, j = np.nonzero(close)
+            # a pair that meets in several buckets is judged in the first
+            here = bands[at + i, np.argmax(bands[at + i] == bands[j], axis=1)] == bucket if len(i) else np.zeros(0, bool)
+            hit[at + i[here]] = hit[j[here]] = True
         picked = np.flatnonzero(hit)
         return pa.table({"bucket": pa.array([bucket] * len(picked), pa.int64()), "low": pa.array([low] * len(picked), pa.int64()), "high": pa.array([high] * len(picked), pa.int64()), "id": ids[picked], "label": labels[picked], "bands": table.column("bands").take(pa.array(picked)), "short": table.column("short").take(pa.array(picked))})
 
@@ -160,10 +166,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, permuted:
     spark = docs.sparkSession
     signed = common.persist(signatures(docs, permuted, rows, size, text), "signed")
     classes = common.persist(signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short")), "classes")
-    spread = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    spread = classes.select("id", F.explode("bands").alias("bucket"))
     shared = common.persist(spread.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members")).filter("centre < last"), "buckets")
-    members = common.persist(spread.join(shared, "bucket").select("bucket", "id", "n", "centre", "members"), "members")
-    asked = members.select("id").distinct()
+    members = common.persist(spread.join(shared, "bucket").select("bucket", "id", "centre", "members"), "members")
+    asked = common.persist(members.select("id").distinct(), "asked")
+    if asked.count() <= BROADCAST_IDS:
+        asked = F.broadcast(asked)
     sets = common.persist(_sets(docs.join(asked, docs.doc_id == asked.id, "left_semi"), size, text), "sets")
 
     def confirm(batches):
@@ -171,8 +179,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, permuted:
             good = [_linked(a, b, percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sizes = classes.select(F.col("id").alias("centre"), F.col("n").alias("m"))
-    stars = members.filter("centre < id").select("id", "centre", "n").distinct().join(sizes, "centre").filter(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    def near(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(len(batch), -1) for i in (4, 5))
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            good = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((x == y).mean(1) >= percent / 100 - MARGIN) if len(batch) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "centre"]).filter(pa.array(good, pa.bool_()))
+
+    there = classes.select(F.col("id").alias("centre"), F.col("n").alias("m"), F.col("short").alias("other"))
+    stars = members.filter("centre < id").select("id", "centre").distinct().join(classes.select("id", "n", "short"), "id").join(there, "centre")
+    stars = stars.select("id", "centre", "n", "m", "short", "other").mapInArrow(near, "id long, centre long")
     stars = stars.join(sets, "id").select("id", "centre", F.col("set").alias("x")).join(sets.select(F.col("id").alias("centre"), F.col("set").alias("y")), "centre")
     links = common.persist(stars.select("id", "centre", "x", "y").mapInArrow(confirm, "a long, b long"), "links")
     labels = components(links)
