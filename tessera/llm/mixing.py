@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = " \t\n\x0b\x0c\r"
+ROOM = 0.98
 
 
 def words(text: str) -> Column:
@@ -44,7 +45,7 @@ class Classifier:
     buckets: int
 
 
-def learn(labelled: DataFrame, domain: str, text: str = "text", buckets: int = 4096, at_most: int = 20_000) -> Classifier:
+def learn(labelled: DataFrame, domain: str, text: str = "text", buckets: int = 1024, at_most: int = 20_000) -> Classifier:
     """Count hashed words by domain over labelled rows.
 
     ``at_most`` bounds the labelled rows that are read, up to chance: of more, those are taken whose
@@ -67,7 +68,7 @@ def learn(labelled: DataFrame, domain: str, text: str = "text", buckets: int = 4
 
 def _literal(values: list[float]) -> Column:
     """An array of doubles as one foldable expression rather than one per element."""
-    return F.split(F.lit(" ".join(map(repr, values))), " ").cast("array<double>")
+    return F.split(F.lit(" ".join(f"{v:.4f}" for v in values)), " ").cast("array<double>")
 
 
 def memberships(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
@@ -108,7 +109,9 @@ def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float =
     """Fit the rates of ``members`` (n_tokens, p_0, ...), which is read once per iteration.
 
     ``weights`` are the target shares of the domains; by default their present shares raised to
-    ``flatten``. The target total is the largest that no domain has to be repeated for.
+    ``flatten``. The target total is ``ROOM`` of the largest that no domain has to be repeated for:
+    where an upper bound holds, documents of several domains could not make up for each other at all
+    of it, and the descent would creep towards targets out of reach.
     """
     k = sum(c.startswith("p_") and c[2:].isdigit() for c in members.columns)
     t = F.col("n_tokens").cast("double")
@@ -119,7 +122,7 @@ def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float =
     have = [first[f"t{i}"] / first["all"] for i in range(k)]
     want = list(weights) if weights is not None else [h**flatten for h in have]
     want = [w / sum(want) for w in want]
-    whole = min((h / w for h, w in zip(have, want, strict=True) if w > 0), default=1.0)
+    whole = ROOM * min((h / w for h, w in zip(have, want, strict=True) if w > 0), default=1.0)
     targets = [w * whole for w in want]
     fit = Fit([], upper, targets, have)
     for _ in range(iterations):
@@ -132,23 +135,25 @@ def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float =
     return fit
 
 
-def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, flatten: float = 0.7, upper: float | None = 1.0, text: str = "text") -> DataFrame:
-    """``docs`` with domain, membership, n_tokens, rate and copies.
+def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, flatten: float = 0.7, upper: float | None = 1.0, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its ``columns``, doc_id among them) with domain, membership, n_tokens, rate and copies.
 
     ``domain`` is the likeliest one and ``membership`` its probability; ``copies`` is the rate,
     rounded up or down by a hash of doc_id so that its mean is the rate.
     """
     model = learn(labelled, domain, text)
     base = docs.drop("domain", "membership", "n_tokens", "rate", "copies")
+    kept = [c for c in base.columns if columns is None or c in columns]
     if not model.domains:
-        return base.select("*", F.lit(None).cast("string").alias("domain"), F.lit(0.0).alias("membership"), F.size(words(text)).cast("long").alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
+        return base.select(*kept, F.lit(None).cast("string").alias("domain"), F.lit(0.0).alias("membership"), F.size(words(text)).cast("long").alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
     k = len(model.domains)
     members = memberships(base, model, text)
-    slim = common.persist(members.select("n_tokens", *(f"p_{i}" for i in range(k))), "members")
-    fit = fit_rates(slim, None if weights is None else [weights.get(d, 0.0) for d in model.domains], flatten, upper)
+    # written with the columns that go on, so that the texts are read and the words looked up once
+    members = common.persist(members.select(*kept, "n_tokens", *(f"p_{i}" for i in range(k))), "members")
+    fit = fit_rates(members, None if weights is None else [weights.get(d, 0.0) for d in model.domains], flatten, upper)
     best = F.greatest(*(F.col(f"p_{i}") for i in range(k))) if k > 1 else F.col("p_0")
     name = F.coalesce(*(F.when(F.col(f"p_{i}") == F.col("membership"), F.lit(d)) for i, d in enumerate(model.domains)))
     out = members.withColumn("membership", best).withColumn("domain", name).withColumn("rate", F.expr(fit.rate()))
     chance = (F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 20)) + 0.5) / float(1 << 20)
     out = out.withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
-    return out.select(*base.columns, "domain", "membership", "n_tokens", "rate", "copies")
+    return out.select(*kept, "domain", "membership", "n_tokens", "rate", "copies")

@@ -17,7 +17,7 @@ def vocabulary(name: str) -> str:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates that flatten the shares of the languages, with soft membership."""
     docs = common.table(spark, sf_dir, "documents")
-    return mixing.mix(docs, docs, domain="lang", flatten=0.7).select("doc_id", "domain", "membership", "n_tokens", "rate", "copies")
+    return mixing.mix(docs, docs, domain="lang", flatten=0.7, columns=["doc_id"]).select("doc_id", "domain", "membership", "n_tokens", "rate", "copies")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

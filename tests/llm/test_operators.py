@@ -58,7 +58,7 @@ def test_mixing_matches_plain_descent(spark, docs):
     assert (rows["n_tokens"] == [len((x or "").split()) for x in rows["text"]]).all()
     have = (t[:, None] * p).sum(0) / t.sum()
     want = have**0.7 / (have**0.7).sum()
-    want *= (have / want).min()
+    want *= mixing.ROOM * (have / want).min()
     best = plain_descent(t, p, want, 1.0)
     assert np.abs(rows["rate"] - best).max() < 1e-6
     got = (t[:, None] * p * rows["rate"].to_numpy()[:, None]).sum(0) / t.sum()
