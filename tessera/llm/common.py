@@ -54,11 +54,19 @@ def drop(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._tessera_path)
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers that see this folder import the package, wherever the driver was started.
+#: Rows of one Arrow batch: whole texts are long, and a worker holds a batch in several forms.
+BATCH_ROWS = 2000
 
-    A cluster whose executors do not share it gets the package with --py-files.
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers that see this folder import the package, and keep their batches small.
+
+    A cluster whose executors do not share the folder gets the package with --py-files. A batch size
+    that the session has smaller is left as it is.
     """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -66,7 +74,7 @@ def importable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,7 +8,7 @@ import xxhash
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers; any will do.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 150_000
 _words: dict[bytes, int] = {}
 
 

@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Words, and stems of words, that one worker remembers per position; at the bound it forgets them all.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
