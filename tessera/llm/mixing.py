@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = " \t\n\x0b\x0c\r"
-ROOM = 0.98
+#: The target total as a share of the largest that no domain has to be repeated for.
+ROOM = 1.0
 
 
 def words(text: str) -> Column:
@@ -45,7 +46,7 @@ class Classifier:
     buckets: int
 
 
-def learn(labelled: DataFrame, domain: str, text: str = "text", buckets: int = 1024, at_most: int = 20_000) -> Classifier:
+def learn(labelled: DataFrame, domain: str, text: str = "text", buckets: int = 4096, at_most: int = 20_000) -> Classifier:
     """Count hashed words by domain over labelled rows.
 
     ``at_most`` bounds the labelled rows that are read, up to chance: of more, those are taken whose
@@ -109,9 +110,7 @@ def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float =
     """Fit the rates of ``members`` (n_tokens, p_0, ...), which is read once per iteration.
 
     ``weights`` are the target shares of the domains; by default their present shares raised to
-    ``flatten``. The target total is ``ROOM`` of the largest that no domain has to be repeated for:
-    where an upper bound holds, documents of several domains could not make up for each other at all
-    of it, and the descent would creep towards targets out of reach.
+    ``flatten``. The target total is the largest that no domain has to be repeated for.
     """
     k = sum(c.startswith("p_") and c[2:].isdigit() for c in members.columns)
     t = F.col("n_tokens").cast("double")

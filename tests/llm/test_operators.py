@@ -67,6 +67,18 @@ def test_mixing_matches_plain_descent(spark, docs):
     assert set(rows["copies"]) <= {0, 1}
 
 
+def test_mixing_keeps_the_whole_target(spark, docs):
+    model = mixing.learn(docs, "lang")
+    assert model.buckets == 4096
+    fit = mixing.fit_rates(mixing.memberships(docs, model), None)
+    rows = mixing.memberships(docs, model).toPandas()
+    p, t = rows[[f"p_{i}" for i in range(len(model.domains))]].to_numpy(), rows["n_tokens"].to_numpy(float)
+    have = (t[:, None] * p).sum(0) / t.sum()
+    want = have**0.7 / (have**0.7).sum()
+    scarce = (have / want).argmin()
+    assert fit.reached[scarce] > 0.999 * have[scarce]
+
+
 def test_mixing_odd_tables(spark):
     docs = odd_documents(spark)
     rows = mixing.mix(docs, docs, "lang").collect()
