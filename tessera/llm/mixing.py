@@ -16,8 +16,10 @@ that are added are replaced.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from . import common
 SPACE = " \t\n\x0b\x0c\r"
 #: The target total as a share of the largest that no domain has to be repeated for.
 ROOM = 1.0
+#: Steps of plain descent; passes over the rows after them at most; the weight of small pulls.
+PLAIN, PASSES, SOFT = 8, 100, 1e-6
 
 
 def words(text: str) -> Column:
@@ -91,46 +95,113 @@ def memberships(docs: DataFrame, model: Classifier, text: str = "text") -> DataF
 
 @dataclass
 class Fit:
-    steps: list[list[float]]  # what each iteration takes off a rate, per domain
+    steps: list[list[float]]  # what each descent step takes off a rate, per domain
+    pull: list[float]  # what is taken off together after them
     upper: float | None
     targets: list[float]
     reached: list[float]
+    missed: bool = False
 
     def rate(self) -> str:
         """The rate as one SQL expression over p_0, p_1, ..."""
         r = "1D"
-        for step in self.steps:
-            r = f"greatest({r} - (" + " + ".join(f"p_{i} * {s!r}D" for i, s in enumerate(step)) + "), 0D)"
-            if self.upper is not None:
-                r = f"least({r}, {float(self.upper)!r}D)"
+        for step in [*self.steps, *([self.pull] if self.pull else [])]:
+            r = self._within(_minus(r, step))
         return r
 
+    def before(self) -> str:
+        """The rate after the descent steps alone."""
+        return Fit(self.steps, [], self.upper, [], []).rate()
 
-def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float = 0.7, upper: float | None = 1.0, iterations: int = 40, tolerance: float = 1e-4) -> Fit:
-    """Fit the rates of ``members`` (n_tokens, p_0, ...), which is read once per iteration.
+    def _within(self, r: str) -> str:
+        r = f"greatest({r}, 0D)"
+        return r if self.upper is None else f"least({r}, {float(self.upper)!r}D)"
+
+
+def _minus(r: str, step: list[float]) -> str:
+    return f"{r} - (" + " + ".join(f"p_{i} * {s!r}D" for i, s in enumerate(step)) + ")"
+
+
+def _pulled(members: DataFrame, fit: Fit, pull: list[float], every: float) -> tuple[np.ndarray, float, np.ndarray]:
+    """What ``pull`` reaches per domain, how far it moves rates, and how the domains move with it: one aggregate."""
+    k = len(pull)
+    t, r, at = F.col("n_tokens").cast("double"), F.col("r"), F.col("_at")
+    p = [F.col(f"p_{i}") for i in range(k)]
+    free = at > 0 if fit.upper is None else (at > 0) & (at < float(fit.upper))
+    rows = members.withColumn("_from", F.expr(fit.before())).withColumn("_at", F.expr(_minus("_from", pull))).withColumn("r", F.expr(fit._within("_at")))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    reached = [F.sum(t * r * p[i]) for i in range(k)]
+    moves = [F.sum(F.when(free, t * p[i] * p[j]).otherwise(0.0)) for i, j in pairs]
+    told = np.array(rows.agg(*reached, F.sum(t * (r - F.col("_from")) ** 2), *moves).first(), float) / every
+    bend = np.zeros((k, k))
+    for (i, j), v in zip(pairs, told[k + 1 :], strict=True):
+        bend[i, j] = bend[j, i] = v
+    return told[:k], told[k], bend
+
+
+def _pull(members: DataFrame, fit: Fit, have: list[float], every: float, goal: float) -> None:
+    """Find the rates nearest to those of the descent that meet the targets, by Newton's method on their dual.
+
+    A row's rate depends on one number per domain only, so the expression stays as long as it is. Targets
+    out of reach give the least-squares rates, all but a weight of ``SOFT``.
+    """
+    share, want = np.maximum(have, 1e-12), np.array(fit.targets)
+
+    def look(pull):
+        reached, far, bend = _pulled(members, fit, pull.tolist(), every)
+        height = -(far / 2 + pull @ (reached - want)) + SOFT / 2 * (share * pull * pull).sum()
+        return reached, height, bend
+
+    pull = np.zeros(len(have))
+    reached, height, bend = look(pull)
+    for _ in range(PASSES):
+        rest = reached - want - SOFT * share * pull
+        if np.abs(reached - want).max() <= goal or np.abs(rest).max() <= goal / 20:
+            break
+        step, size = np.linalg.solve(bend + SOFT * np.diag(share), rest), 1.0
+        found = look(pull + step)
+        while found[1] > height - 1e-4 * size * (rest @ step) and size > 1e-3:
+            size /= 2
+            found = look(pull + size * step)
+        if found[1] >= height:
+            break
+        pull = pull + size * step
+        reached, height, bend = found
+    fit.pull, fit.reached = pull.tolist(), reached.tolist()
+
+
+def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float = 0.7, upper: float | None = 1.0, tolerance: float = 1e-4) -> Fit:
+    """Fit the rates of ``members`` (n_tokens, p_0, ...), which is read once per step.
 
     ``weights`` are the target shares of the domains; by default their present shares raised to
-    ``flatten``. The target total is the largest that no domain has to be repeated for.
+    ``flatten``. The target total is the largest that no domain has to be repeated for. A few steps of
+    descent meet most targets; where an upper bound holds and documents of several domains cannot make
+    up for each other, ``_pull`` goes on. Targets still missed by more than ``tolerance`` of the largest
+    are told by a warning with what is reached, and by ``missed``.
     """
     k = sum(c.startswith("p_") and c[2:].isdigit() for c in members.columns)
     t = F.col("n_tokens").cast("double")
     p = [F.col(f"p_{i}") for i in range(k)]
     first = members.agg(F.coalesce(F.sum(t), F.lit(0.0)).alias("all"), *(F.coalesce(F.sum(t * p[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k))).first()
     if not first["all"]:
-        return Fit([], upper, [0.0] * k, [0.0] * k)
+        return Fit([], [], upper, [0.0] * k, [0.0] * k)
     have = [first[f"t{i}"] / first["all"] for i in range(k)]
     want = list(weights) if weights is not None else [h**flatten for h in have]
     want = [w / sum(want) for w in want]
     whole = ROOM * min((h / w for h, w in zip(have, want, strict=True) if w > 0), default=1.0)
     targets = [w * whole for w in want]
-    fit = Fit([], upper, targets, have)
-    for _ in range(iterations):
-        off = [g - w for g, w in zip(fit.reached, targets, strict=True)]
-        if max(map(abs, off)) <= tolerance * max(targets):
-            break
-        fit.steps.append([o / h if h > 0 else 0.0 for o, h in zip(off, have, strict=True)])
+    fit, goal = Fit([], [], upper, targets, have), tolerance * max(targets)
+    off = lambda: [g - w for g, w in zip(fit.reached, targets, strict=True)]
+    while max(map(abs, off())) > goal and len(fit.steps) < PLAIN:
+        fit.steps.append([o / h if h > 0 else 0.0 for o, h in zip(off(), have, strict=True)])
         told = members.select(t.alias("t"), *p, F.expr(fit.rate()).alias("r")).agg(*(F.sum(F.col("t") * F.col("r") * p[i]).alias(f"t{i}") for i in range(k))).first()
         fit.reached = [told[f"t{i}"] / first["all"] for i in range(k)]
+    if max(map(abs, off())) > goal:
+        _pull(members, fit, have, first["all"], goal)
+    fit.missed = max(map(abs, off())) > goal
+    if fit.missed:
+        shown = ", ".join(f"{g:.6f} of {w:.6f}" for g, w in zip(fit.reached, targets, strict=True))
+        warnings.warn(f"mixing targets are out of reach within the bounds; shares of all tokens reached: {shown}", stacklevel=2)
     return fit
 
 

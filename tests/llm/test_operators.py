@@ -76,7 +76,39 @@ def test_mixing_keeps_the_whole_target(spark, docs):
     have = (t[:, None] * p).sum(0) / t.sum()
     want = have**0.7 / (have**0.7).sum()
     scarce = (have / want).argmin()
-    assert fit.reached[scarce] > 0.999 * have[scarce]
+    assert fit.reached[scarce] > 0.999 * have[scarce] and not fit.missed
+
+
+def soft_members(spark, shares, sure, n=4000):
+    """Rows of made-up domains with soft memberships, as a frame and as arrays."""
+    draw = np.random.default_rng(1)
+    k = len(shares)
+    home, own = draw.choice(k, n, p=shares), draw.beta(sure, 1, n)
+    p = draw.dirichlet([1] * k, n)
+    p[np.arange(n), home] = 0
+    p *= ((1 - own) / p.sum(1))[:, None]
+    p[np.arange(n), home] = own
+    t = draw.lognormal(4, 1, n).round() + 1
+    rows = [(int(a), *map(float, b)) for a, b in zip(t, p, strict=True)]
+    return spark.createDataFrame(rows, "n_tokens long, " + ", ".join(f"p_{i} double" for i in range(k))), t, p
+
+
+def test_mixing_goes_on_to_the_tolerance(spark):
+    frame, t, p = soft_members(spark, [0.9, 0.05, 0.04, 0.01], 400)
+    fit = mixing.fit_rates(frame, None, flatten=0.9)
+    assert len(fit.steps) == mixing.PLAIN and fit.pull and not fit.missed
+    rate = np.array([r["r"] for r in frame.select(F.expr(fit.rate()).alias("r")).collect()])
+    got = (t[:, None] * p * rate[:, None]).sum(0) / t.sum()
+    assert np.abs(got - fit.targets).max() <= 1.01e-4 * max(fit.targets) and 0 <= rate.min() and rate.max() <= 1
+
+
+def test_mixing_tells_targets_out_of_reach(spark):
+    frame, t, p = soft_members(spark, [0.9, 0.05, 0.04, 0.01], 100)
+    with pytest.warns(UserWarning, match="out of reach"):
+        fit = mixing.fit_rates(frame, None, flatten=0.9)
+    rate = np.array([r["r"] for r in frame.select(F.expr(fit.rate()).alias("r")).collect()])
+    got = (t[:, None] * p * rate[:, None]).sum(0) / t.sum()
+    assert fit.missed and np.abs(got - fit.reached).max() < 1e-9
 
 
 def test_mixing_odd_tables(spark):
