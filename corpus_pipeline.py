@@ -35,8 +35,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at rates that flatten the languages' shares a little; no document comes twice."""
-    found = mixing.mix(docs, docs, domain="lang", flatten=0.9, upper=1.0)
+    """Documents at rates that flatten the languages' shares a little; no document comes twice.
+
+    A language with less than its target keeps all it has; only the surplus of the others goes.
+    """
+    found = mixing.mix(docs, docs, domain="lang", flatten=0.9, upper=1.0, short=True)
     return found.filter("copies > 0").select(*docs.columns)
 
 

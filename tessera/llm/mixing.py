@@ -170,12 +170,13 @@ def _pull(members: DataFrame, fit: Fit, have: list[float], every: float, goal: f
     fit.pull, fit.reached = pull.tolist(), reached.tolist()
 
 
-def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float = 0.7, upper: float | None = 1.0, tolerance: float = 1e-4) -> Fit:
+def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float = 0.7, upper: float | None = 1.0, tolerance: float = 1e-4, short: bool = False) -> Fit:
     """Fit the rates of ``members`` (n_tokens, p_0, ...), which is read once per step.
 
     ``weights`` are the target shares of the domains; by default their present shares raised to
-    ``flatten``. The target total is the largest that no domain has to be repeated for. A few steps of
-    descent meet most targets; where an upper bound holds and documents of several domains cannot make
+    ``flatten``. The target total is the largest that no domain has to be repeated for; with ``short``
+    it is all present tokens, and a domain that has less than its target keeps what it has, so that a
+    rare domain does not shrink the others. A few steps of descent meet most targets; where an upper bound holds and documents of several domains cannot make
     up for each other, ``_pull`` goes on. Targets still missed by more than ``tolerance`` of the largest
     are told by a warning with what is reached, and by ``missed``.
     """
@@ -189,7 +190,7 @@ def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float =
     want = list(weights) if weights is not None else [h**flatten for h in have]
     want = [w / sum(want) for w in want]
     whole = ROOM * min((h / w for h, w in zip(have, want, strict=True) if w > 0), default=1.0)
-    targets = [w * whole for w in want]
+    targets = [min(h, w) if short else w * whole for h, w in zip(have, want, strict=True)]
     fit, goal = Fit([], [], upper, targets, have), tolerance * max(targets)
     off = lambda: [g - w for g, w in zip(fit.reached, targets, strict=True)]
     while max(map(abs, off())) > goal and len(fit.steps) < PLAIN:
@@ -205,7 +206,7 @@ def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float =
     return fit
 
 
-def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, flatten: float = 0.7, upper: float | None = 1.0, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, flatten: float = 0.7, upper: float | None = 1.0, text: str = "text", columns: list[str] | None = None, short: bool = False) -> DataFrame:
     """``docs`` (or its ``columns``, doc_id among them) with domain, membership, n_tokens, rate and copies.
 
     ``domain`` is the likeliest one and ``membership`` its probability; ``copies`` is the rate,
@@ -220,7 +221,7 @@ def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dic
     members = memberships(base, model, text)
     # written with the columns that go on, so that the texts are read and the words looked up once
     members = common.persist(members.select(*kept, "n_tokens", *(f"p_{i}" for i in range(k))), "members")
-    fit = fit_rates(members, None if weights is None else [weights.get(d, 0.0) for d in model.domains], flatten, upper)
+    fit = fit_rates(members, None if weights is None else [weights.get(d, 0.0) for d in model.domains], flatten, upper, short=short)
     best = F.greatest(*(F.col(f"p_{i}") for i in range(k))) if k > 1 else F.col("p_0")
     name = F.coalesce(*(F.when(F.col(f"p_{i}") == F.col("membership"), F.lit(d)) for i, d in enumerate(model.domains)))
     out = members.withColumn("membership", best).withColumn("domain", name).withColumn("rate", F.expr(fit.rate()))

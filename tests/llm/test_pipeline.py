@@ -59,6 +59,15 @@ def test_mixing_keeps_each_at_most_once(results):
     assert set(texts(after)) <= set(texts(before)) and after.count() == len(texts(after)) > 0.7 * before.count()
 
 
+def test_a_rare_language_does_not_shrink_the_others(spark):
+    docs = common.table(spark, SF, "documents").filter("text is not null")
+    rare = docs.filter("lang = 'de'").orderBy("n_chars").limit(1)
+    skewed = docs.filter("lang = 'en'").unionAll(rare)
+    kept = corpus_pipeline.mix(spark, skewed, SF)
+    assert kept.filter("lang = 'de'").count() == 1
+    assert kept.agg({"n_chars": "sum"}).first()[0] > 0.9 * skewed.agg({"n_chars": "sum"}).first()[0]
+
+
 def test_packing(results):
     before, after = results[4]
     spans, used = check_pieces(after.collect(), texts(before))
