@@ -281,6 +281,22 @@ def test_language_model_is_normalised():
         assert known + unknown / len(used) == pytest.approx(1, abs=1e-9)
 
 
+def test_language_model_customers_leave_before_they_sit_down(monkeypatch):
+    # two words in context 0, the first also in context 1
+    bucket = language_model.Bucket(0, np.array([2, 1], "<i4").tobytes(), np.array([0, 1, 0], "<u2").tobytes(), np.array([9, 4, 6], "<i8").tobytes())
+    tables, above = np.array([5, 2, 3]), np.array([2, 1])
+    model = {"d1": 0.6, "d0": 0.7, "types": 2, "seed": 1}
+    asked, seat = [], language_model.seat
+    monkeypatch.setattr(language_model, "seat", lambda customers, mass, *rest: asked.append(mass) or seat(customers, mass, *rest))
+    bucket.sweep(0, tables, above, bucket.totals(tables, above), model)
+    # without the cell: restaurants hold 3, 0 and 5 tables; the parent 5, 8 and 7 customers, and of the word 2, 5 and 0
+    rest, parent, word = np.array([3, 0, 5]), np.array([5, 8, 7]), np.array([2, 5, 0])
+    kept = np.array([1, 2 * 5 / 7, 0])
+    base = (1 + 0.7 * (3 - np.array([2, 2, 1]) + kept)) / 3
+    assert asked[0] == pytest.approx((1 + 0.6 * rest) * (word - 0.7 * kept + base) / (1 + parent))
+    assert asked[1] == pytest.approx((1 + 0.7 * np.array([1, 2])) / 3)
+
+
 def test_seating_counts():
     draw = np.random.default_rng(0)
     customers = np.array([0, 1, 2, 50, 1000, 100_000])
