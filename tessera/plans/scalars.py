@@ -20,7 +20,9 @@ PART, CUST, DOCS, EVENT, ORDERS, NATION = "p_partkey@part", "c_custkey@customer"
 
 call("str01_length", DOCS, "t_length(text)", "length(text)")
 call("str02_upper", DOCS, "t_upper(substring(text, 1, 60))", "translate(substr(text, 1, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')")
+call("str02_upper_whole", DOCS, "t_upper(text)", "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')")
 call("str03_lower", DOCS, "t_lower(substring(text, 1, 60))", "translate(substr(text, 1, 60), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+call("str03_lower_whole", DOCS, "t_lower(text)", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 call("str04_trim", PART, "trim(concat('  ', p_name, ' '))", "trim('  ' || p_name || ' ')")
 call("str05_ltrim", PART, "ltrim(concat('  ', p_name, ' '))", "ltrim('  ' || p_name || ' ')")
 call("str06_rtrim", PART, "rtrim(concat('  ', p_name, ' '))", "rtrim('  ' || p_name || ' ')")
@@ -31,6 +33,7 @@ call("str07_substr2", PART, "t_substr2(p_name, 4)", "substr(p_name, 4)")
 call("str08_instr", DOCS, "t_instr(text, 'the')", "instr(text, 'the')")
 call("str09_replace", PART, "replace(p_name, 'small', 'tiny')", "replace(p_name, 'small', 'tiny')")
 call("str10_hex", DOCS, "t_hex(substring(text, 1, 20))", "hex(substr(text, 1, 20))")
+call("str10_hex_whole", DOCS, "t_hex(text)", "hex(text)")
 call("str11_unicode", PART, "t_unicode(p_name)", "CAST(unicode(p_name) AS BIGINT)")
 call("str12_char", PART, "concat(char(65 + p_size % 26), char(97 + p_size % 26))", "chr(65 + p_size % 26) || chr(97 + p_size % 26)")
 call("str13_zeroblob", NATION, "t_length(t_zeroblob(n_nationkey))", "CAST(n_nationkey AS BIGINT)")

@@ -50,6 +50,13 @@ def test_entry_is_registered(spark):
     assert __spark_entry__.entry(spark).columns == ["l_returnflag", "l_linestatus", "sum_qty", "sum_net", "avg_disc", "n"]
 
 
+def test_whole_texts(spark):
+    docs = session.table(spark, SF, "documents")
+    for name, size in (("str02_upper_whole", "length(text)"), ("str03_lower_whole", "length(text)"), ("str10_hex_whole", "2 * octet_length(text)")):
+        want = docs.selectExpr("doc_id", f"{size} AS n").collect()
+        assert sorted(want) == sorted(QUERIES[name].run(spark, SF).selectExpr("doc_id", "length(v) AS n").collect())
+
+
 def test_filters_reach_the_scan(spark):
     plan = QUERIES["src13_range_lookup"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(And(GreaterThanOrEqual(o_orderkey,100)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
