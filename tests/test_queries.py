@@ -57,6 +57,19 @@ def test_whole_texts(spark):
         assert sorted(want) == sorted(QUERIES[name].run(spark, SF).selectExpr("doc_id", "length(v) AS n").collect())
 
 
+WHOLE = {"prj01_star": "customer", "src12_rowid": "orders", "srt02_order_by_expression": "part", "srt03_ordinal": "customer", "srt04_alias": "part", "srt05_nulls_last": "nation", "srt05_nulls_first": "nation", "jon16_order": "supplier"}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_tables(spark, name):
+    assert QUERIES[f"{name}_whole"].run(spark, SF).count() == session.table(spark, SF, WHOLE[name]).count()
+
+
+def test_whole_groups(spark):
+    groups = session.table(spark, SF, "orders").select("o_custkey").distinct().count()
+    assert QUERIES["agg22_order_by_aggregate_whole"].run(spark, SF).count() == groups
+
+
 def test_filters_reach_the_scan(spark):
     plan = QUERIES["src13_range_lookup"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(And(GreaterThanOrEqual(o_orderkey,100)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
