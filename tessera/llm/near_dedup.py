@@ -10,8 +10,8 @@ full shingle sets:
    by signature (wide margin), then on full sets with union-find, so that only links which join
    components are emitted.
 
-No pair is left out but by the chance that two sets share no band (below 1e-5 at the threshold with
-the default of 80 values) or that a signature underestimates by more than ``MARGIN``.
+No pair is left out but by the chance that two sets share no band (4e-7 at the threshold with the
+default of 80 values) or that a signature underestimates by more than ``MARGIN`` (below 2e-8).
 
 Texts null, empty or without words have no shingles and link with nothing. Rows with a null doc_id
 link with nothing and have a null component. Rows that share a doc_id count as one document.
@@ -35,7 +35,7 @@ BLOCK = 2048
 #: Ids of classes with company that are sent to all tasks; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: How far a signature's estimate may lie below the threshold.
-MARGIN = 0.16
+MARGIN = 0.25
 
 
 def signatures(docs: DataFrame, permuted: int, rows: int, size: int, text: str = "text") -> DataFrame:

@@ -506,6 +506,13 @@ def test_near_dedup_documents(docs, texts):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) and r["n_shingles"] == len(shingle_set(texts[r["doc_id"]])) for r in rows)
 
 
+@pytest.mark.parametrize("values, percent", [(80, 85), (96, 80)])
+def test_near_dedup_screen_loses_less_than_the_bands(values, percent):
+    alike, least = percent / 100, percent / 100 - near_dedup.MARGIN
+    screened = sum(math.comb(values, n) * alike**n * (1 - alike) ** (values - n) for n in range(values + 1) if n / values < least)
+    assert screened < (1 - alike**4) ** (values // 4)
+
+
 def test_near_dedup_odd_tables(spark):
     rows = near_dedup.near_duplicates(odd_documents(spark)).collect()
     by = {r["doc_id"]: r for r in rows}
