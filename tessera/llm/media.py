@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
+
 WIDTH = 64
 #: Fixed by the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -147,26 +149,44 @@ def payload(text: str | None) -> bytes:
     return raw + b"\0" * (-len(raw) % WIDTH or WIDTH * (not raw))
 
 
-SCHEMA = "doc_id long, n_bytes long, media binary, phash binary, payload_bytes long, payload_sha256 string, tail_crc32 long"
+STORED = "doc_id long, n_bytes long, media binary"
+READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, phash binary"
+
 
+def _batch(rows: list[tuple], kinds: list[pa.DataType], schema: str) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-def text_media(docs: DataFrame, text: str = "text", keep_media: bool = True) -> DataFrame:
-    """Store each text as an image, read the stored bytes back and describe what was read.
 
-    ``media`` is null with ``keep_media=False``; ``media_bytes`` and ``media_sha256`` describe it either way.
-    """
+def encode_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Each text's doc_id, n_bytes and ``media``: its payload as a PNG file in a binary column."""
 
     def run(batches):
         for batch in batches:
             out = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                put = payload(value)
-                media = encode_png(np.frombuffer(put, np.uint8).reshape(-1, WIDTH))
+                media = encode_png(np.frombuffer(payload(value), np.uint8).reshape(-1, WIDTH))
+                out.append((doc, len((value or "").encode()), media))
+            yield _batch(out, [pa.int64(), pa.int64(), pa.binary()], STORED)
+
+    return docs.select("doc_id", text).mapInArrow(run, STORED)
+
+
+def describe(stored: DataFrame) -> DataFrame:
+    """What is read from a stored binary column: the payload's size and digests, the media's, and its hash."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, n, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 image = decode_png(media)
                 got = image.tobytes()
-                out.append((doc, len((value or "").encode()), media if keep_media else None, perceptual_hash(image), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "media", "phash", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
+                out.append((doc, n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), perceptual_hash(image)))
+            yield _batch(out, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()], READ)
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, READ)
+
 
-    return docs.select("doc_id", text).mapInArrow(run, SCHEMA + ", media_bytes long, media_sha256 string")
+def store(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Write each text's image to a table in the shared folder and return that table: doc_id, n_bytes, media."""
+    return common.persist(encode_texts(docs, text), "media", "uncompressed")  # the images are compressed already

@@ -53,10 +53,11 @@ class Packer:
         self.next_id += 1
 
     def add(self, doc: int, start: int, ids: bytes, total: int) -> None:
-        full = self.length * 4
-        while len(ids) >= full:
-            self._emit([(doc, start, ids[:full], total)])
-            start, ids = start + self.length, ids[full:]
+        full, at = self.length * 4, 0
+        for at in range(full, len(ids) + 1, full):
+            self._emit([(doc, start, ids[at - full : at], total)])
+            start += self.length
+        ids = ids[at:]
         n = len(ids) // 4
         if not n:
             return

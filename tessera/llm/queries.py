@@ -80,9 +80,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store every text as an image and describe what is read back."""
-    docs = common.table(spark, sf_dir, "documents")
-    found = media.text_media(docs, keep_media=False)
+    """Store every text as an image in a table's binary column and describe what is read back from it."""
+    found = media.describe(media.store(common.table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("phash")).alias("feature"))
 
 

@@ -4,8 +4,9 @@ Byte-pair merges never cross a pre-token, and pre-tokens never run from a non-sp
 white space. So a text whose words are separated by single spaces or newlines can be encoded word
 by word, and words repeat: only words that the worker has not seen lately reach the library. A word
 of letters with punctuation after it is two pre-tokens; its letters, written in the vocabulary's
-byte alphabet, go straight to the library's merge model. Every other text goes to the library whole.
-All ways give the library's ids for the text.
+byte alphabet, go straight to the library's merge model. Every other text goes to the library whole,
+and so does a text that holds the string of one of the vocabulary's special tokens, which the library
+gives that token's id. All ways give the library's ids for the text.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words, and stems of words, that one worker remembers per position; at the bound it forgets them all.
-CACHE_WORDS = 500_000
+#: Bytes, about, of the words and their ids that one worker remembers per position; at the bound it
+#: forgets them all. Longer words than ``KEPT_CHARS`` are encoded each time.
+CACHE_BYTES, KEPT_CHARS = 48 << 20, 40
+#: What a remembered word takes beside its characters and ids, about: two objects and a place in a table.
+_ENTRY = 230
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -38,14 +42,17 @@ class _Words(dict):
 
     def __init__(self, encode, bound: int):
         super().__init__()
-        self.encode, self.bound = encode, bound
+        self.encode, self.bound, self.held = encode, bound, 0
 
     def __missing__(self, word: str) -> bytes:
-        if "\n" in word:  # the end of a line and the start of the next: too many to keep
-            return self.encode(word)
-        if len(self) >= self.bound:
+        got = self.encode(word)
+        if len(word) > KEPT_CHARS or "\n" in word:  # the end of a line and the start of the next: too many to keep
+            return got
+        self.held += _ENTRY + len(word) + len(got)
+        if self.held > self.bound:
             self.clear()
-        got = self[word] = self.encode(word)
+            self.held = 0
+        self[word] = got
         return got
 
 
@@ -56,20 +63,22 @@ class Encoder:
     word, a newline is a token) from one that drops it and lower-cases.
     """
 
-    def __init__(self, path: str, dtype: str, keeps_space: bool, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, dtype: str, keeps_space: bool, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # what all special strings begin with, looked for once per text
+        self.marks = [lead] if (lead := os.path.commonprefix(self.special)) else self.special
         self.merge = self.tokenizer.model.tokenize
         self.dtype, self.keeps_space = np.dtype(dtype), keeps_space
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = byte_alphabet()
-        self.first = _Words(lambda w: self._word(w, ""), cache_words)
-        self.later = _Words(lambda w: self._piece(w), cache_words)
-        self.stems = _Words(self._stem, cache_words)
-        self.ends = _Words(self.whole, 50_000)
+        self.first = _Words(lambda w: self._word(w, ""), cache_bytes)
+        self.later = _Words(lambda w: self._piece(w), cache_bytes)
+        self.stems = _Words(self._stem, cache_bytes)
+        self.ends = _Words(self.whole, cache_bytes // 4)
         self.newline = self.whole("\n") if keeps_space else b""
 
     def whole(self, text: str) -> bytes:
@@ -86,7 +95,7 @@ class Encoder:
         return self._pack([t.id for t in self.merge(stem)])
 
     def _word(self, word: str, lead: str) -> bytes:
-        if not word or "<|" in word:
+        if not word:
             raise _Odd
         stem = word.rstrip(PUNCTUATION)
         if stem.isalpha():
@@ -110,6 +119,8 @@ class Encoder:
             try:
                 if not text:
                     yield b""
+                elif any(m in text for m in self.marks):
+                    yield self.whole(text)
                 elif self.keeps_space:
                     head, *tail = text.split(" ")
                     start = self.newline.join(map(self.first.__getitem__, head.split("\n")))

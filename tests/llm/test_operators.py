@@ -1,9 +1,11 @@
 """Each operator against a plain version, and on odd and empty tables."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -31,11 +33,15 @@ def texts(docs):
     return {r["doc_id"]: r["text"] for r in docs.collect()}
 
 
-def plain_ids(name, text, end):
+@functools.cache
+def library(name):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(vocabulary(name))
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
+    return Tokenizer.from_file(vocabulary(name))
+
+
+def plain_ids(name, text, end):
+    return [*library(name).encode(text or "", add_special_tokens=False).ids, end]
 
 
 # 1 mixing
@@ -164,12 +170,22 @@ def test_packing_odd_tables(spark):
     assert packing.pack(empty_documents(spark), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_is_linear_in_a_text():
+    ids = np.arange(10_000_000, dtype="<u4").tobytes()
+    packer, began = packing.Packer(1024, 16, 0, True), time.perf_counter()
+    packer.add(1, 0, ids, 10_000_000)
+    packer.pour()
+    assert time.perf_counter() - began < 5
+    assert b"".join(r[7] for r in packer.done) == ids and [r[1] for r in packer.done] == list(range(0, 10_000_000, 1024))
+
+
 def test_encoder_equals_library(texts):
-    odd = ["", None, "  a b", "a\n\nb ", " x", "a\tb", "é b", "don't\nWe'll", "\x01 a", "a\x1cb", "İstanbul ΣΑΣ", "<|endoftext|> x", "12.5% $5", "x'' y's'", "日本語 テスト", "a b", "\U0001f600 ok"]
+    odd = ["a<|startoftext|>b", "x <|endoftext|>", "one\n<|endoftext|> two", "<|ENDOFTEXT|> <| |>", "<|endoftext", "<|endoftext|><|endoftext|>", "w" * 5000, "", None, "  a b", "a\n\nb ", " x", "a\tb", "é b", "don't\nWe'll", "\x01 a", "a\x1cb", "İstanbul ΣΑΣ", "<|endoftext|> x", "12.5% $5", "x'' y's'", "日本語 テスト", "a b", "\U0001f600 ok"]
     for name, dtype, spaces in (("byte_bpe_50k.json", "<u4", True), ("word_bpe_49k.json", "<u2", False)):
-        made = Encoder(vocabulary(name), dtype, spaces, cache_words=500)
+        made, plain = Encoder(vocabulary(name), dtype, spaces, cache_bytes=100_000), library(name)
         every = [*texts.values(), *odd]
-        assert [made.whole(x) if x else b"" for x in every] == list(made.encode(every))
+        want = [np.array(plain.encode(x or "", add_special_tokens=False).ids, dtype).tobytes() for x in every]
+        assert want == list(made.encode(every)) == list(made.encode(every))
 
 
 # 3 line dedup
@@ -414,10 +430,22 @@ def test_language_odd_tables(spark):
 
 # 8 media
 def test_media_round_trip(docs, texts):
-    for r in media.text_media(docs).collect():
-        raw = texts[r["doc_id"]].encode()
-        assert media.decode_png(bytes(r["media"])).tobytes() == raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
-        assert r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and len(r["phash"]) == 8
+    stored = media.store(docs)
+    told = {r["doc_id"]: r for r in media.describe(stored).collect()}
+    for r in stored.collect():
+        raw, say = texts[r["doc_id"]].encode(), told.pop(r["doc_id"])
+        put = raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
+        assert media.decode_png(bytes(r["media"])).tobytes() == put and r["n_bytes"] == say["n_bytes"] == len(raw)
+        assert (say["payload_bytes"], say["payload_sha256"], say["tail_crc32"]) == (len(put), hashlib.sha256(put).hexdigest(), zlib.crc32(put[-64:]))
+        assert (say["media_bytes"], say["media_sha256"], len(say["phash"])) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest(), 8)
+    assert not told
+
+
+def test_media_reads_the_stored_bytes(docs):
+    stored = media.store(docs.limit(5))
+    broken = stored.withColumn("media", F.expr("concat(substring(media, 1, length(media) - 4), X'00000000')"))
+    with pytest.raises(Exception, match="checksum"):
+        media.describe(broken).collect()
 
 
 def filtered(kind, samples):
@@ -451,10 +479,10 @@ def test_png_filters_and_checks():
 
 
 def test_media_odd_tables(spark):
-    rows = media.text_media(odd_documents(spark), keep_media=False).collect()
+    rows = media.describe(media.store(odd_documents(spark))).collect()
     assert len(rows) == 11 and {r["payload_bytes"] for r in rows if r["doc_id"] in (3, 4)} == {64}
     assert len({(r["media_sha256"], r["phash"]) for r in rows if r["doc_id"] in (0, 1)}) == 1
-    assert media.text_media(empty_documents(spark)).count() == 0
+    assert media.describe(media.store(empty_documents(spark))).count() == 0
 
 
 # 9 near dedup
