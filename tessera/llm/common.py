@@ -54,8 +54,8 @@ def drop(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._tessera_path)
 
 
-#: Rows of one Arrow batch: whole texts are long, and a worker holds a batch in several forms.
-BATCH_ROWS = 2000
+#: Rows and bytes of one Arrow batch: texts may be very long, and a worker holds a batch in several forms.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -64,9 +64,10 @@ def prepare(spark: SparkSession) -> None:
     A cluster whose executors do not share the folder gets the package with --py-files. A batch size
     that the session has smaller is left as it is.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(str(spark.conf.get(key)).rstrip("bB")) <= most:
+            spark.conf.set(key, most)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -83,6 +84,27 @@ def fold(column: str, n: int, k: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n == k, F.lit(False))
 
 
+#: Hot keys that a join may have: a table of them, two numbers each, is sent to all tasks.
+HOT_KEYS = 200_000
+
+
+def hot_rows(rows: int, least: int = 1000) -> int:
+    """From how many rows on a key is hot: one in ``HOT_KEYS`` of all, so that no more than these are."""
+    return max(least, -(-rows // HOT_KEYS))
+
+
+def salted_join(fact: DataFrame, dim: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``fact`` joined with the one row that ``dim`` has of a key, where no task gets all rows of a hot key.
+
+    ``hot`` (``key``, parts) lists the hot keys; their rows are dealt over ``parts`` salts by the hash
+    of column ``by``, and their row of ``dim`` is repeated that often.
+    """
+    hot = F.broadcast(hot.select(key, F.col("parts").alias("_parts")))
+    left = fact.join(hot, key, "left").withColumn("_salt", F.expr(f"coalesce(pmod(xxhash64({by}, 17), _parts), 0L)")).drop("_parts")
+    right = dim.join(hot, key, "left").withColumn("_salt", F.explode(F.expr("sequence(0L, coalesce(_parts, 1L) - 1)"))).drop("_parts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def slots(spark: SparkSession) -> int:
     """Partitions for a stage that must not depend on the data's own partitioning."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

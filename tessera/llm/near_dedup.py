@@ -6,16 +6,22 @@ full shingle sets:
 
 1. Documents with equal sets form a class; its smallest doc_id stands for it from here on.
 2. In every bucket each class is compared with the bucket's smallest one; components of these links.
-3. Buckets that still hold more than one component are searched between components, in blocks: first
-   by signature (wide margin), then on full sets with union-find, so that only links which join
-   components are emitted.
+3. In buckets that still hold more than one component, the classes outside the bucket's largest
+   component are compared with all others, in blocks: first by signature, then on full sets with
+   union-find, so that only links which join components are emitted. Links within a component
+   decide nothing and are not sought.
 
-No pair is left out but by the chance that two sets share no band (4e-7 at the threshold with the
-default of 80 values) or that a signature underestimates by more than ``MARGIN`` (below 2e-8).
+A link is lost only if two sets share no band or if their signature underestimates by more than
+``MARGIN``, before the exact test. At the threshold, for signature values that agree independently,
+that is 3.9e-7 and 1.3e-8 with 80 values at 85 %, and 3.9e-7 and 1.2e-9 with 112 values at 80 %.
+
+No task holds a whole group: rows of a bucket, centre, label or digest that has many are dealt over
+salts, and blocks are cut by members and by shingles, so what a task holds in full sets does not
+grow with the group nor with the length of texts, but for the longest one.
 
 Texts null, empty or without words have no shingles and link with nothing. Rows with a null doc_id
-link with nothing and have a null component. Rows that share a doc_id count as one document.
-Other columns are dropped.
+link with nothing and have a null component. Rows that share a doc_id are one document, linked by
+any of its texts. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -30,8 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 from .shingles import band_keys, min_max, permutations, shingle_set
 
-#: Classes of a bucket that one task compares with each other, or with as many others.
-BLOCK = 2048
+#: Classes of a bucket that one task compares with as many others, and their shingles, about.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: Ids of classes with company that are sent to all tasks; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: How far a signature's estimate may lie below the threshold.
@@ -86,60 +92,74 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among neighbours and then the label's own label, so the
     rounds grow with the logarithm of a chain's length. Rounds are written to the shared folder.
+    Edges at an id with many, and ids of a label with many, are dealt over salts.
     """
     edges = common.persist(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    least = common.hot_rows(edges.count())
+    many = lambda rows, key: rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(f"n > {least}").selectExpr(key, f"n div {least} + 1 AS parts")
     labels = common.persist(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")), "labels")
+    hot = common.persist(many(edges, "b"), "hot")
     while True:
-        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
+        near = common.salted_join(edges, labels.select(F.col("id").alias("b"), "label"), "b", hot, "a").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.id == near.a, "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = common.persist(step.join(up, "label", "left").select("id", F.least("label", "up").alias("label"), "old"), "labels")
+        new = common.persist(common.salted_join(step, up, "label", many(labels, "label"), "id", "left").select("id", F.least("label", "up").alias("label"), "old"), "labels")
         moved = new.filter("label <> old").limit(1).count()
         common.drop(labels)
         labels = new
         if not moved:
             common.drop(edges)
+            common.drop(hot)
             return labels.select("id", "label")
 
 
+GROUP = ["bucket", "i", "j"]
+FOUND = "bucket long, i long, j long, id long, label long, inside boolean, side int, bands array<long>, short binary"
+
+
+def _arrays(table) -> tuple:
+    short = np.frombuffer(b"".join(table.column("short").to_pylist()), "<u2").reshape(table.num_rows, -1)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    return (*(table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "inside", "side")), short, bands)
+
+
+def _pairs(bucket: int, rows: tuple, percent: int):
+    """For members x outside the largest component, the members y of other components that resemble them by signature.
+
+    Both may be outside: then they meet in two groups and only the smaller id asks. A pair that meets in
+    several buckets is judged in the first.
+    """
+    ids, labels, inside, side, short, bands = rows
+    least = percent / 100 - MARGIN
+    ask, told = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for at in range(0, len(ask), 64):
+        x = ask[at : at + 64]
+        close = (short[x, None, :] == short[None, told, :]).mean(2) >= least
+        close &= (labels[x, None] != labels[None, told]) & (inside[None, told] | (ids[x, None] < ids[None, told]))
+        i, j = np.nonzero(close)
+        if len(i):
+            p, q = x[i], told[j]
+            here = bands[p, np.argmax(bands[p] == bands[q], axis=1)] == bucket
+            yield p[here], q[here]
+
+
 def _suspects(percent: int):
     """Members of a block pair that may link with a member of another component, judged by signature."""
-    least = percent / 100 - MARGIN
 
     def run(key, table):
-        bucket, low, high = (k.as_py() for k in key)
-        n = table.num_rows
-        ids, labels, part = (table.column(c).to_numpy() for c in ("id", "label", "part"))
-        short = np.frombuffer(b"".join(table.column("short").to_pylist()), "<u2").reshape(n, -1)
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
-        hit = np.zeros(n, bool)
-        for at in range(0, n, 64):
-            mine = slice(at, min(n, at + 64))
-            close = (short[mine, None, :] == short[None, :, :]).mean(2) >= least
-            close &= labels[mine, None] != labels[None, :]
-            if low != high:
-                close &= part[mine, None] != part[None, :]
-            i, j = np.nonzero(close)
-            # a pair that meets in several buckets is judged in the first
-            here = bands[at + i, np.argmax(bands[at + i] == bands[j], axis=1)] == bucket if len(i) else np.zeros(0, bool)
-            hit[at + i[here]] = hit[j[here]] = True
-        picked = np.flatnonzero(hit)
-        return pa.table({"bucket": pa.array([bucket] * len(picked), pa.int64()), "low": pa.array([low] * len(picked), pa.int64()), "high": pa.array([high] * len(picked), pa.int64()), "id": ids[picked], "label": labels[picked], "bands": table.column("bands").take(pa.array(picked)), "short": table.column("short").take(pa.array(picked))})
+        hit = np.zeros(table.num_rows, bool)
+        for p, q in _pairs(key[0].as_py(), _arrays(table), percent):
+            hit[p] = hit[q] = True
+        return table.filter(pa.array(hit)).select([c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
 
 def _joins(percent: int):
-    """Links between components within a block pair, confirmed on full sets; at most one per join of two components."""
-    least = percent / 100 - MARGIN
+    """Pairs of components within a block pair that a link joins, confirmed on full sets; at most one per join."""
 
     def run(key, table):
-        bucket = key[0].as_py()
-        n = table.num_rows
-        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
-        sets = table.column("set").to_pylist()
-        short = np.frombuffer(b"".join(table.column("short").to_pylist()), "<u2").reshape(n, -1)
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        rows, sets = _arrays(table), table.column("set")
         up: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -148,62 +168,115 @@ def _joins(percent: int):
             return x
 
         out = []
-        for i in range(n):
-            same = (short[i] == short[i + 1 :]).mean(1)
-            for j in i + 1 + np.flatnonzero((same >= least) & (labels[i + 1 :] != labels[i])):
-                a, b = top(int(labels[i])), top(int(labels[j]))
-                # a pair that meets in several buckets is judged in the first
-                if a != b and bands[i][np.argmax(bands[i] == bands[j])] == bucket and _linked(sets[i], sets[j], percent):
-                    up[max(a, b)] = min(a, b)
-                    out.append((int(ids[i]), int(ids[j])))
+        for p, q in _pairs(key[0].as_py(), rows, percent):
+            for x, y in zip(p.tolist(), q.tolist(), strict=True):
+                a, b = int(rows[1][x]), int(rows[1][y])
+                s, t = top(a), top(b)
+                if s != t and _linked(sets[x].as_py(), sets[y].as_py(), percent):
+                    up[max(s, t)] = min(s, t)
+                    out.append((a, b))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, permuted: int = 40, rows: int = 4, text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
-    spark = docs.sparkSession
-    signed = common.persist(signatures(docs, permuted, rows, size, text), "signed")
-    classes = common.persist(signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short")), "classes")
-    spread = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = common.persist(spread.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members")).filter("centre < last"), "buckets")
-    members = common.persist(spread.join(shared, "bucket").select("bucket", "id", "centre", "members"), "members")
-    asked = common.persist(members.select("id").distinct(), "asked")
-    if asked.count() <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
-    sets = common.persist(_sets(docs.join(asked, docs.doc_id == asked.id, "left_semi"), size, text), "sets")
-
-    def confirm(batches):
+def _confirmed(percent: int):
+    def run(batches):
         for batch in batches:
-            good = [_linked(a, b, percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            good = [_linked(a.as_py(), b.as_py(), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def near(batches):
+    return run
+
+
+def _resembling(percent: int):
+    def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(len(batch), -1) for i in (4, 5))
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(len(batch), -1) for i in (6, 7))
+            n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
             good = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((x == y).mean(1) >= percent / 100 - MARGIN) if len(batch) else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "centre"]).filter(pa.array(good, pa.bool_()))
-
-    there = classes.select(F.col("id").alias("centre"), F.col("n").alias("m"), F.col("short").alias("other"))
-    stars = members.filter("centre < id").select("id", "centre").distinct().join(classes.select("id", "n", "short"), "id").join(there, "centre")
-    stars = stars.select("id", "centre", "n", "m", "short", "other").mapInArrow(near, "id long, centre long")
-    stars = stars.join(sets, "id").select("id", "centre", F.col("set").alias("x")).join(sets.select(F.col("id").alias("centre"), F.col("set").alias("y")), "centre")
-    links = common.persist(stars.select("id", "centre", "x", "y").mapInArrow(confirm, "a long, b long"), "links")
-    labels = components(links)
-
-    now = members.join(labels, "id", "left").select("bucket", "id", "members", F.coalesce("label", "id").alias("label"))
-    split = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    blocks = now.join(split, "bucket").withColumn("blocks", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}")).withColumn("part", F.expr("pmod(xxhash64(id), blocks)"))
-    blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("bucket", "id", "label", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    blocks = blocks.join(classes.select("id", "bands", "short"), "id")
-    found = common.persist(blocks.groupBy("bucket", "low", "high").applyInArrow(_suspects(percent), "bucket long, low long, high long, id long, label long, bands array<long>, short binary"), "suspects")
-    more = found.join(sets, "id").groupBy("bucket", "low", "high").applyInArrow(_joins(percent), "a long, b long")
-    more = common.persist(more, "links")
-    final = components(links.unionAll(more))
-
-    classes = classes.join(final, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _star_links(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of members with their buckets' smallest ones."""
+    parts = f"greatest(members div {BLOCK}, weight div {BLOCK_SHINGLES}) + 1"
+    pairs = common.persist(members.filter("centre < id").groupBy("id", "centre").agg(F.max(F.expr(parts)).alias("parts")), "pairs")
+    heads = pairs.select("centre", "parts").distinct().join(classes.select(F.col("id").alias("centre"), F.col("n").alias("m"), F.col("short").alias("other")), "centre")
+    heads = heads.withColumn("salt", F.explode(F.expr("sequence(0L, parts - 1)")))
+    stars = pairs.join(classes.select("id", "n", "short"), "id").withColumn("salt", F.expr("pmod(xxhash64(id, 17), parts)")).join(heads, ["centre", "parts", "salt"])
+    stars = common.persist(stars.select("id", "centre", "parts", "salt", "n", "m", "short", "other").mapInArrow(_resembling(percent), "id long, centre long, parts long, salt long"), "stars")
+    keys = ["centre", "parts", "salt"]
+    heads = stars.select(*keys).distinct().join(sets.select(F.col("id").alias("centre"), F.col("set").alias("y")), "centre")
+    met = stars.join(sets.select("id", F.col("set").alias("x")), "id").join(heads, keys)
+    links = common.persist(met.select("id", "centre", "x", "y").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+    common.drop(pairs)
+    common.drop(stars)
+    return links
+
+
+def _component_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
+    """Links (a, b) between components of ``labels`` that meet in a bucket."""
+    now = common.persist(members.join(labels, "id", "left").select("bucket", "id", "n", "members", F.coalesce("label", "id").alias("label")), "now")
+    each = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.max("members").alias("members"))
+    blocks = lambda c, w: F.expr(f"greatest({c} div {BLOCK}, {w} div {BLOCK_SHINGLES}) + 1")
+    most = each.groupBy("bucket").agg(F.max(F.struct("c", "label", "w")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.max("members").alias("members"))
+    most = most.filter("c > top.c").select("bucket", F.col("top.label").alias("largest"), "members", blocks("(c - top.c)", "(w - top.w)").alias("asking"), blocks("c", "w").alias("told"))
+    most = common.persist(most, "split")
+    hot = most.filter(f"members > {least}").selectExpr("bucket", f"members div {least} + 1 AS parts")
+    rows = common.salted_join(now.select("bucket", "id", "label"), most.drop("members"), "bucket", hot, "id").withColumn("inside", F.expr("label = largest"))
+    home = lambda salt, n: F.expr(f"pmod(xxhash64(id, {salt}), {n})")
+    every = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1)"))
+    asks = rows.filter("NOT inside").withColumn("i", home(1, "asking")).withColumn("j", every("told")).withColumn("side", F.lit(0))
+    told = rows.withColumn("j", home(2, "told")).withColumn("i", every("asking")).withColumn("side", F.lit(1))
+    names = ["bucket", "i", "j", "id", "label", "inside", "side"]
+    met = asks.select(names).unionAll(told.select(names)).join(classes.select("id", "bands", "short"), "id")
+    found = common.persist(met.groupBy(*GROUP).applyInArrow(_suspects(percent), FOUND), "suspects")
+    more = common.persist(found.join(sets, "id").groupBy(*GROUP).applyInArrow(_joins(percent), "a long, b long"), "joins")
+    for done in (now, most, found):
+        common.drop(done)
+    return more
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, permuted: int = 40, rows: int = 4, text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
+    signed = common.persist(signatures(docs, permuted, rows, size, text), "signed")
+    classes = signed.filter("digest is not null and doc_id is not null").groupBy("digest")
+    classes = common.persist(classes.agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short")), "classes")
+    n_rows, n_classes = signed.count(), classes.count()
+    least = common.hot_rows(n_classes * (2 * permuted // rows))
+    spread = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    buckets = spread.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
+    buckets = common.persist(buckets.filter("centre < last").drop("last"), "buckets")
+    hot = buckets.filter(f"members > {least}").selectExpr("bucket", f"members div {least} + 1 AS parts")
+    members = common.persist(common.salted_join(spread, buckets, "bucket", hot, "id"), "members")
+    asked = common.persist(members.select("id").distinct(), "asked")
+    few = asked.count() <= BROADCAST_IDS
+    sets = common.persist(_sets(docs.join(F.broadcast(asked) if few else asked, docs.doc_id == asked.id, "left_semi"), size, text), "sets")
+    each = sets.dropDuplicates() if _repeats(sets) else sets
+
+    labels = components(_star_links(members, classes, each, percent))
+    joins = _component_links(members, labels, classes, each, percent, least)
+    first = classes.select("digest", "id", "copies").join(labels, "id", "left").select("digest", "id", "copies", F.coalesce("label", "id").alias("label"))
+    if joins.limit(1).count():
+        crowded = common.hot_rows(n_classes)
+        final = components(joins).select(F.col("id").alias("label"), F.col("label").alias("component"))
+        hot = first.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {crowded}").selectExpr("label", f"n div {crowded} + 1 AS parts")
+        first = common.salted_join(first, final, "label", hot, "id", "left").withColumn("label", F.coalesce("component", "label"))
+    first = common.persist(first.select("digest", "copies", "label"), "components")
+    for done in (buckets, members, asked, sets, classes, joins):
+        common.drop(done)
+
+    crowded = common.hot_rows(n_rows)
+    hot = first.filter(f"copies > {crowded}").selectExpr("digest", f"copies div {crowded} + 1 AS parts")
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    out = common.salted_join(out, first.select("digest", "label"), "digest", hot, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _repeats(sets: DataFrame) -> bool:
+    """Whether an id comes twice: rows of ``docs`` may share one."""
+    n, ids = sets.select("id").agg(F.count("id"), F.countDistinct("id")).first()
+    return n > ids

@@ -8,7 +8,8 @@ import xxhash
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers; any will do.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 150_000
+#: Words whose hashes a worker remembers, and the longest of them in bytes.
+_WORDS_KEPT, _WORD_BYTES = 150_000, 48
 _words: dict[bytes, int] = {}
 
 
@@ -29,9 +30,10 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(_words) > _WORDS_KEPT:
         _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    new = {w: xxhash.xxh3_64_intdigest(w) for w in set(words).difference(_words)}
+    known = _words if max(map(len, new), default=0) <= _WORD_BYTES else {w: _words[w] for w in set(words) & _words.keys()}
+    known.update(new)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - size + 1)
     out = np.full(n, min(size, len(h)), np.uint64)
     for i in range(min(size, len(h))):
