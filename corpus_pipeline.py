@@ -29,7 +29,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each component of documents that share 80 % of their five-word shingles."""
-    found = near_dedup.near_duplicates(docs, percent=80, size=5, permuted=48)
+    found = near_dedup.near_duplicates(docs, percent=80, size=5, permuted=56)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
