@@ -90,6 +90,32 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), percent=85, size=5)
 
 
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), sets AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END)) AS shingle
+  FROM worded
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS hits FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * hits >= 85 * (x.n + y.n - hits)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, other) AS (
+  SELECT a, b FROM edges UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a
+), component AS (
+  SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id, d.doc_id <= coalesce(least, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN component USING (doc_id)
+"""
+
+
 def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all ids to Arrow files and describe what is read back."""
     docs = common.table(spark, sf_dir, "documents")
@@ -98,4 +124,4 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_line_dedup, op4_language_model, op5_quality, op6_neighbours, op7_language, op8_media, op9_near_dedup, op10_binary_output)}
-ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL}
+ORACLES: dict[str, str] = {"op3_line_dedup": LINE_DEDUP_SQL, "op9_near_dedup": NEAR_DEDUP_SQL}

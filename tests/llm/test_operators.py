@@ -379,7 +379,9 @@ def plain_nearest(ids, vectors, query, k):
     return [(int(ids[i]), float(d[i])) for i in order[:k]]
 
 
-def test_neighbours_recall(spark):
+def test_neighbours_recall(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 5)
     rows = common.table(spark, "/root/testdata/sf0.1", "embeddings")
     got = collections.defaultdict(dict)
     for r in QUERIES["op6_neighbours"](spark, "/root/testdata/sf0.1").collect():
@@ -398,6 +400,36 @@ def test_neighbours_recall(spark):
     assert hit / (10 * len(asked)) >= 0.9
 
 
+def test_neighbours_stop_early():
+    """20,000 vectors around 40 centres: the search verifies a small share of them, and finds what a full scan finds."""
+    draw = np.random.default_rng(4)
+    vectors = draw.normal(0, 1, (40, 64))[draw.integers(0, 40, 20_000)] + draw.normal(0, 0.4, (20_000, 64))
+    block, hit = neighbours.Block(np.arange(20_000), vectors), 0
+    for q in range(0, 20_000, 400):
+        best = {i for i, _ in plain_nearest(np.arange(20_000), vectors, q, 10)}
+        hit += len(best & {i for _, i in block.search(vectors[q], q, 10)})
+    assert hit >= 0.93 * 500 and block.verified < 0.05 * 50 * 20_000
+
+
+def test_neighbours_regions_hold_every_row():
+    draw = np.random.default_rng(4)
+    low = draw.normal(0, 1, (3000, neighbours.DIMS))
+    regions = neighbours.Regions(low[:500], 7)
+    home = regions.home(low)
+    assert len(regions.lo) == 7 and set(home) == set(range(7)) and np.bincount(home).max() < 1000
+    assert all((low[home == b] >= regions.lo[b] - 1e-5).all() and (low[home == b] <= regions.hi[b] + 1e-5).all() for b in range(7))
+
+
+def test_neighbours_common_vector(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(0, 900)] + [(1000 + i, [float(i), 5.0]) for i in range(50)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(table, F.col("vec_id") % 100 == 0, k=3).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got[0] == [(1, 0.0), (2, 0.0), (3, 0.0)] and got[800] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+    assert [i for i, _ in got[1000]] == [1001, 1002, 1003] or got[1000][0] == (1001, 1.0)
+
+
 def test_neighbours_odd_tables(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, []), (None, [1.0, 1.0]), (8, [1.0, 0.0]), (7, [1.0, 0.0]), (9, [5.0, 5.0]), (9, [5.0, 5.0]), (10, [1.0, 2.0, 3.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
@@ -408,6 +440,7 @@ def test_neighbours_odd_tables(spark):
 
 def test_chi_square_share():
     draw = np.random.default_rng(2).chisquare(6, 200_000)
+    assert neighbours.DIMS % 2 == 0
     for x in (1.0, 5.0, 12.0):
         assert neighbours.projected_share(x, 6) == pytest.approx((draw < x).mean(), abs=0.005)
 
@@ -612,13 +645,14 @@ def test_binary_output_odd_tables(spark, tmp_path):
 
 
 # queries and the pipeline
-def test_line_dedup_sql(spark):
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op9_near_dedup"])
+def test_query_equals_its_sql(spark, name):
     import duckdb
 
     at = duckdb.connect()
     at.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = at.execute(ORACLES["op3_line_dedup"]).df().set_index("doc_id").sort_index()
-    got = QUERIES["op3_line_dedup"](spark, SF).toPandas().set_index("doc_id").sort_index()
+    want = at.execute(ORACLES[name]).df().set_index("doc_id").sort_index()
+    got = QUERIES[name](spark, SF).toPandas().set_index("doc_id").sort_index()
     assert want.equals(got[want.columns])
 
 
