@@ -84,6 +84,14 @@ def fold(column: str, n: int, k: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n == k, F.lit(False))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores where a column is called so."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 #: Hot keys that a join may have: a table of them, two numbers each, is sent to all tasks.
 HOT_KEYS = 200_000
 
@@ -97,12 +105,13 @@ def salted_join(fact: DataFrame, dim: DataFrame, key: str, hot: DataFrame, by: s
     """``fact`` joined with the one row that ``dim`` has of a key, where no task gets all rows of a hot key.
 
     ``hot`` (``key``, parts) lists the hot keys; their rows are dealt over ``parts`` salts by the hash
-    of column ``by``, and their row of ``dim`` is repeated that often.
+    of the expression ``by``, and their row of ``dim`` is repeated that often.
     """
-    hot = F.broadcast(hot.select(key, F.col("parts").alias("_parts")))
-    left = fact.join(hot, key, "left").withColumn("_salt", F.expr(f"coalesce(pmod(xxhash64({by}, 17), _parts), 0L)")).drop("_parts")
-    right = dim.join(hot, key, "left").withColumn("_salt", F.explode(F.expr("sequence(0L, coalesce(_parts, 1L) - 1)"))).drop("_parts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    parts, salt = (free_name(x, [*fact.columns, *dim.columns]) for x in ("parts", "salt"))
+    hot = F.broadcast(hot.select(key, F.col("parts").alias(parts)))
+    left = fact.join(hot, key, "left").withColumn(salt, F.expr(f"coalesce(pmod(xxhash64({by}, 17), {parts}), 0L)")).drop(parts)
+    right = dim.join(hot, key, "left").withColumn(salt, F.explode(F.expr(f"sequence(0L, coalesce({parts}, 1L) - 1)"))).drop(parts)
+    return left.join(right, [key, salt], how).drop(salt)
 
 
 def slots(spark: SparkSession) -> int:

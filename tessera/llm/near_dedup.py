@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, permuted:
     crowded = common.hot_rows(n_rows)
     hot = first.filter(f"copies > {crowded}").selectExpr("digest", f"copies div {crowded} + 1 AS parts")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    out = common.salted_join(out, first.select("digest", "label"), "digest", hot, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    out = common.salted_join(out, first.select("digest", "label"), "digest", hot, "monotonically_increasing_id()", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -209,24 +209,59 @@ def test_line_dedup_plain(docs, texts):
     assert got == plain_lines(texts.items())
 
 
-def test_line_dedup_without_screen(docs, texts, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SCREEN_BYTES", 0)
-    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()}
-    assert got == plain_lines(texts.items())
+def test_line_dedup_hot_line(spark, monkeypatch):
+    monkeypatch.setattr(common, "hot_rows", lambda rows, least=0: 5)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
+    monkeypatch.setattr(line_dedup, "TASK_REFS", 30)
+    rows = [(i % 150, f"a line in all documents\nline number {i // 3} of them\nown line {i}") for i in range(200)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    holders = collections.defaultdict(set)
+    for d, t in rows:
+        for line in t.split("\n"):
+            holders[line].add(d)
+    want = sorted((d, "\n".join(x for x in t.split("\n") if len(holders[x]) == 1 or min(holders[x]) == d)) for d, t in rows)
+    assert sorted((r["doc_id"], r["text"]) for r in got) == want
+
+
+def state(index):
+    """The exact table, and how many copies of each key the filters hold."""
+    rows = index.exact().collect()
+    filters = {r["shard"]: line_dedup.Cuckoo.from_bytes(bytes(r["filter"])) for r in index._read(index.filters, line_dedup.FILTERS).collect()}
+    assert all(filters[r["shard"]].copies([bytes(r["digest"])])[0] >= min(2, r["holders"]) for r in rows)
+    return {(bytes(r["digest"]), r["holders"], r["owner"]) for r in rows}, {k: sorted(f.table[f.table > 0].tolist()) for k, f in filters.items()}
+
 
+def cleaned(index, docs):
+    return {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in index.clean(docs).collect()}
 
-def test_line_index_is_reversible(spark, docs, texts):
+
+def test_line_index_is_reversible(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 400)
     some, rest = docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id % 3 = 0")
     index = line_dedup.LineIndex(spark)
     index.insert(some)
-    before = {(bytes(r["digest"]), r["holders"], r["owner"]) for r in index.repeated.collect()}
+    before = state(index)
     index.insert(rest)
-    both = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in index.clean(docs).collect()}
-    assert both == plain_lines(texts.items())
+    assert index.shards > 1 and cleaned(index, docs) == plain_lines(texts.items())
     index.delete(rest)
-    assert {(bytes(r["digest"]), r["holders"], r["owner"]) for r in index.repeated.collect()} == before
-    left = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in index.clean(some).collect()}
-    assert left == plain_lines([(d, t) for d, t in texts.items() if d % 3])
+    assert state(index) == before
+    assert cleaned(index, some) == plain_lines([(d, t) for d, t in texts.items() if d % 3])
+    index.insert(rest)
+    assert cleaned(index, docs) == plain_lines(texts.items())
+
+
+def test_line_index_leaves_other_shards_alone(spark, docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 400)
+    index = line_dedup.LineIndex(spark)
+    index.insert(docs)
+    counts, filters, known = dict(index.counts), dict(index.filters), index.exact().select("shard", "owner").limit(1).collect()[0]
+    index.insert(spark.createDataFrame([(5000, "a single line that no other document holds")], "doc_id long, text string"))
+    moved = [k for k in counts if index.counts[k] != counts[k]]
+    # a key that the filter does not know is added as a file; the shard's table is neither read nor written
+    assert len(moved) == 1 and index.counts[moved[0]][:-1] == counts[moved[0]] and [k for k in filters if index.filters[k] != filters[k]] == moved
+    index.delete(spark.createDataFrame([(known["owner"],)], "doc_id long"))
+    assert index.counts[known["shard"]] != counts[known["shard"]]
+    assert index.exact().filter(f"owner = {known['owner']}").count() == 0
 
 
 def test_cuckoo_filter():
@@ -240,6 +275,10 @@ def test_cuckoo_filter():
     assert made.holds(keys[2500:]).all() and made.holds(keys[:2500]).mean() < 0.01
     again = line_dedup.Cuckoo.from_bytes(made.to_bytes())
     assert (again.table == made.table).all()
+    made = line_dedup.Cuckoo.of([*keys, *keys])
+    assert (made.copies(keys) >= 2).all()
+    made.delete(keys)
+    assert made.holds(keys).all() and (made.copies(keys) >= 2).mean() < 0.01
 
 
 def test_line_dedup_odd_tables(spark):
@@ -253,6 +292,10 @@ def test_line_dedup_odd_tables(spark):
     assert [r["n_dropped"] for r in by[7]] == [0, 0]
     assert len(rows) == 11
     assert line_dedup.dedup_lines(empty_documents(spark)).count() == 0
+    clash = docs.selectExpr("*", "1 AS doc", "2 AS drops", "3 AS parts", "4 AS salt", "5 AS shard", "6 AS _doc", "7 AS n_lines")
+    again = line_dedup.dedup_lines(clash).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["n_lines"]) for r in again) == sorted((str(r["doc_id"]), r["text"], r["n_lines"]) for r in rows)
+    assert {(r["doc"], r["drops"], r["parts"], r["salt"], r["shard"], r["_doc"]) for r in again} == {(1, 2, 3, 4, 5, 6)}
 
 
 # 4 language model
