@@ -37,7 +37,12 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "t_quote": ("s STRING", "STRING", "coalesce(concat('\\'', replace(s, '\\'', '\\'\\''), '\\''), 'NULL')"),
     "t_quote_number": ("s STRING", "STRING", "coalesce(s, 'NULL')"),
     "t_like": ("p STRING, s STRING", "BOOLEAN", "s ILIKE p ESCAPE '\\u0001'"),
-    "t_glob": ("p STRING, s STRING", "BOOLEAN", "s RLIKE concat('(?s)^', replace(replace(regexp_replace(p, '([\\\\\\\\.\\\\[\\\\]{}()+^$|])', '\\\\\\\\$1'), '*', '.*'), '?', '.'), '$')"),
+    # all but *, ? and [...] stands for itself; within brackets so do * and ?; a bracket that is not closed matches nothing
+    "t_glob": (
+        "p STRING, s STRING", "BOOLEAN",
+        "s RLIKE concat('(?s)^', regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '([\\\\.{}()+$|])', '\\\\$1'), "
+        "'(?<!\\[)\\^', '\\\\^'), '\\*(?![^\\[]*\\])', '.*'), '\\?(?![^\\[]*\\])', '.'), '\\[(?![^\\]]+\\])', '(?!)'), '$')".replace("\\", "\\\\"),
+    ),
     # mathematics: outside the domain the result is null
     "t_sqrt": ("x DOUBLE", "DOUBLE", "CASE WHEN x >= 0 THEN sqrt(x) END"),
     "t_log10": ("x DOUBLE", "DOUBLE", "CASE WHEN x > 0 THEN log10(x) END"),
@@ -63,16 +68,14 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "t_random": ("", "BIGINT", "xxhash64(uuid())"),
 }
 
-_registered: set[int] = set()
-
-
 def register(spark: SparkSession) -> None:
-    """Create the functions in the session; does nothing the second time."""
-    if id(spark) in _registered:
+    """Create the functions in the session and let recursion go as deep as the dialect's; does nothing the second time."""
+    if getattr(spark, "_tessera_functions", False):
         return
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
     for name, (params, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body}")
-    _registered.add(id(spark))
+    spark._tessera_functions = True
 
 
 #: strftime conversion -> date_format pattern

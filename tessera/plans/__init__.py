@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregates, changes, joins, ordering, relational, scalars, windows
+from . import aggregates, changes, dialect, joins, ordering, relational, scalars, windows
 from .registry import Query
 
-FAMILIES = (relational, joins, aggregates, windows, ordering, scalars, changes)
+FAMILIES = (relational, joins, aggregates, windows, ordering, scalars, changes, dialect)
 
 
 def all_queries() -> dict[str, Query]:

@@ -26,8 +26,7 @@ sql("jon12_where", "SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN natio
 sql("jon13_group", "SELECT n.n_name, count(*) AS n, round(sum(s.s_acctbal), 2) AS total FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name")
 sql("jon14_expression_limit", "SELECT o.o_orderkey * 2 AS k, c.c_name || '!' AS who FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey ORDER BY o.o_orderkey LIMIT 25")
 sql("jon15_distinct_limit", "SELECT DISTINCT n.n_regionkey, c.c_mktsegment FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey ORDER BY 1, 2 LIMIT 10 OFFSET 3")
-sql("jon16_order", "SELECT s.s_name, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey ORDER BY n.n_name DESC, 1 LIMIT 40")
-sql("jon16_order_whole", "SELECT s.s_name, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey ORDER BY n.n_name DESC, 1")
+sql("jon16_order", "SELECT s.s_name, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey ORDER BY n.n_name DESC, 1")
 
 
 @frame("jon01_null_safe", "SELECT l.n_nationkey AS a, r.n_nationkey AS b FROM nation l JOIN nation r ON nullif(l.n_regionkey, 1) IS NOT DISTINCT FROM nullif(r.n_regionkey, 1)")

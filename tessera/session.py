@@ -27,14 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folder that each view of a session stands for, so that a table's footer is read once.
-_loaded: dict[tuple[int, str], str] = {}
-
-
 def load_views(spark: SparkSession, sf_dir: str, sql: str) -> None:
-    """Make the tables that ``sql`` names visible as temporary views."""
+    """Make the tables that ``sql`` names visible as temporary views.
+
+    The session keeps the folder that each view stands for, so that a table's footer is read once.
+    """
+    if not hasattr(spark, "_tessera_views"):
+        spark._tessera_views = {}
     for name in set(re.findall(r"\w+", sql)) & set(TABLES):
-        key = (id(spark), name)
-        if _loaded.get(key) != sf_dir:
+        if spark._tessera_views.get(name) != sf_dir:
             table(spark, sf_dir, name).createOrReplaceTempView(name)
-            _loaded[key] = sf_dir
+            spark._tessera_views[name] = sf_dir

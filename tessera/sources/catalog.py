@@ -68,7 +68,6 @@ class Database:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         compat.register(spark)
-        spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
             found = spark.conf.get("spark.checkpoint.dir", None)

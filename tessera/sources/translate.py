@@ -6,6 +6,7 @@ truncate, || and friends write numbers as text, and conditions are 0 or 1 where
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -427,12 +428,17 @@ class Translator:
             for core in q["cores"]:
                 text, last = self._core(core, outer)
                 texts.append(text)
+            order = q["order"]
+            if order and len(texts) == 1 and "values" not in q["cores"][0]:
+                texts[0], order = self._sortable(q["cores"][0], outer, texts[0], last[0], order)
             out += texts[0] + "".join(f" {sign} {text}" for sign, text in zip(q["sets"], texts[1:], strict=True))
-            if q["order"]:
+            if order:
                 scope, names = last
                 by = []
-                for node, way in q["order"]:
-                    if node.kind == "number" and node.value.isdigit():
+                for node, way in order:
+                    if isinstance(node, str):
+                        by.append(f"{node} {way}")
+                    elif node.kind == "number" and node.value.isdigit():
                         by.append(f"{node.value} {way}")
                     elif node.kind == "column" and node.value[0] is None and node.value[1].lower() in names:
                         by.append(f"{quoted(node.value[1])} {way}")
@@ -450,6 +456,32 @@ class Translator:
         finally:
             self.ctes.pop()
 
+    def _sortable(self, core: dict, outer: Scope | None, text: str, scope: Scope, order: list) -> tuple[str, list]:
+        """Compute what a sort cannot, a call of a dialect function, in a column of its own below the sort."""
+        named = self._named(core["items"], scope)
+        by_name = {name.lower(): node for name, node in named}
+        hidden, out = [], []
+        for node, way in order:
+            plain = node.kind == "number" or (node.kind == "column" and node.value[0] is None and node.value[1].lower() in by_name)
+            whole = node if plain else self._unalias(node, by_name, scope)
+            if not plain and re.search(r"\bt_\w+\(", self.value(whole, scope)):
+                hidden.append((whole, f"_by{len(hidden)}"))
+                out.append((quoted(hidden[-1][1]), way))
+            else:
+                out.append((node, way))
+        if not hidden or core["distinct"]:
+            return text, order
+        shown = [quoted(name) for name, _ in named]
+        # the other keys are computed below the sort too, as the inner columns are out of its sight
+        for i, (node, way) in enumerate(out):
+            if isinstance(node, Node) and node.kind == "number" and node.value.isdigit():
+                out[i] = (shown[int(node.value) - 1], way)
+            elif isinstance(node, Node) and not (node.kind == "column" and node.value[0] is None and node.value[1].lower() in by_name):
+                hidden.append((self._unalias(node, by_name, scope), f"_by{len(hidden)}"))
+                out[i] = (quoted(hidden[-1][1]), way)
+        text, _ = self._core({**core, "items": [*core["items"], *hidden]}, outer)
+        return f"SELECT {', '.join(shown)} FROM ({text})", out
+
     def _single(self, q: dict) -> bool:
         """Whether a query gives one row whatever the data: an aggregate without groups."""
         core = q["cores"][0]
