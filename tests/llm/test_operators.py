@@ -396,11 +396,38 @@ def test_quality_on_held_out_rows(spark):
     assert right[0] > 0.93 and right[1] >= 0 and right[2] <= 1
 
 
-def test_quality_reads_no_held_out_label(spark, docs):
+def test_quality_reads_no_held_out_label_and_no_negative(spark, docs):
     labels = common.table(spark, SF, "labels")
-    flipped = labels.withColumn("quality", F.when(common.fold("doc_id", 5, 0), 1 - F.col("quality")).otherwise(F.col("quality")))
-    a, b = (quality.learn(docs, x, ~common.fold("doc_id", 5, 0)) for x in (labels, flipped))
-    assert a.prior == b.prior and all(np.allclose(x, y) for (x, _), (y, _) in zip(a.layers, b.layers, strict=True))
+    held = common.fold("doc_id", 5, 0)
+    flipped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    fewer = labels.filter("quality = 1")
+    a, *others = (quality.learn(docs, x, ~held) for x in (labels, flipped, fewer))
+    for b in others:
+        assert a.prior == b.prior and all(np.allclose(x, y) for (x, _), (y, _) in zip(a.layers, b.layers, strict=True))
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_quality_prior_is_estimated(share):
+    draw = np.random.default_rng(1)
+    good, bad = (lambda n: draw.normal(1, 1, (n, 6)).astype(np.float32)), (lambda n: draw.normal(-1, 1, (n, 6)).astype(np.float32))
+    u = np.concatenate([good(int(4000 * share)), bad(int(4000 * (1 - share)))])
+    assert abs(quality.estimate_prior(good(2000), u) - share) < 0.05
+
+
+def test_quality_risk_is_the_non_negative_one():
+    """One step of plain descent against the risk's slope by differences."""
+    draw = np.random.default_rng(2)
+    p, u, prior = draw.normal(1, 1, (200, 3)).astype(np.float32), draw.normal(0, 1, (300, 3)).astype(np.float32), 0.4
+    layers = quality.descend(p, u, prior, hidden=4, epochs=200, batch=64)
+
+    def risk(layers):
+        sp, su = quality._output(layers, p), quality._output(layers, u)
+        return prior * -np.log(sp).mean() + max(0.0, -np.log(1 - su).mean() + prior * np.log(1 - sp).mean())
+
+    start = quality.descend(p, u, prior, hidden=4, epochs=0)
+    assert risk(layers) < 0.8 * risk(start)
+    told = quality.descend(p, u, None, hidden=4, epochs=200, batch=64)
+    assert risk(layers) < risk(told)  # telling positives from unlabelled rows is another aim
 
 
 def test_quality_odd_tables(spark):
