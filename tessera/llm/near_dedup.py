@@ -37,7 +37,7 @@ from . import common
 from .shingles import band_keys, min_max, permutations, shingle_set
 
 #: Classes of a bucket that one task compares with as many others, and their shingles, about.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Ids of classes with company that are sent to all tasks; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: How far a signature's estimate may lie below the threshold.
