@@ -10,7 +10,7 @@ depend on what a document is and not on how long it is.
 Texts null or empty have no words: their probabilities are the labelled shares, and they have no
 tokens to count. Without labelled rows every rate is 1. Rows are treated each for itself, so ties and
 repeated rows get equal rates; a null doc_id is hashed like any other value. Columns named like those
-that are added are replaced.
+that are added are replaced; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = " \t\n\x0b\x0c\r"
-#: The target total as a share of the largest that no domain has to be repeated for.
-ROOM = 1.0
 #: Steps of plain descent; passes over the rows after them at most; the weight of small pulls.
 PLAIN, PASSES, SOFT = 8, 100, 1e-6
 
@@ -54,11 +52,11 @@ def learn(labelled: DataFrame, domain: str, text: str = "text", buckets: int = 4
     """Count hashed words by domain over labelled rows.
 
     ``at_most`` bounds the labelled rows that are read, up to chance: of more, those are taken whose
-    hashed id falls into the fitting share. What reaches the driver is domains x ``buckets`` counts.
+    hashed id and text fall into the fitting share. What reaches the driver is domains x ``buckets`` counts.
     """
     rows = labelled.filter(F.col(domain).isNotNull()).select(F.col(domain).cast("string").alias("domain"), text, "doc_id")
     share = min(1.0, at_most / max(1, rows.count()))
-    rows = rows.filter(F.expr(f"pmod(xxhash64(doc_id, 'mixing classifier'), 1000000) < {int(share * 1_000_000)}"))
+    rows = rows.filter(F.pmod(F.xxhash64("doc_id", text, F.lit("mixing classifier")), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = rows.withColumn("words", words(text))
     shares = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains = sorted(shares)
@@ -101,6 +99,7 @@ class Fit:
     targets: list[float]
     reached: list[float]
     missed: bool = False
+    total: float = 0.0  # tokens of all rows, which targets and what is reached are shares of
 
     def rate(self) -> str:
         """The rate as one SQL expression over p_0, p_1, ..."""
@@ -174,11 +173,13 @@ def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float =
     """Fit the rates of ``members`` (n_tokens, p_0, ...), which is read once per step.
 
     ``weights`` are the target shares of the domains; by default their present shares raised to
-    ``flatten``. The target total is the largest that no domain has to be repeated for; with ``short``
-    it is all present tokens, and a domain that has less than its target keeps what it has, so that a
-    rare domain does not shrink the others. A few steps of descent meet most targets; where an upper bound holds and documents of several domains cannot make
-    up for each other, ``_pull`` goes on. Targets still missed by more than ``tolerance`` of the largest
-    are told by a warning with what is reached, and by ``missed``.
+    ``flatten``. The target total is all present tokens, or less where a domain would have to be
+    repeated more than ``upper`` times (never, if None) for it. With ``short`` it is all present tokens in
+    any case, and a domain that has less than its target keeps what it has, so that a rare domain does
+    not shrink the others. Domains without a token are left out of the targets, with a warning if they
+    have a weight. A few steps of descent meet most targets; where an upper bound holds and documents of
+    several domains cannot make up for each other, ``_pull`` goes on. Targets still missed by more than
+    ``tolerance`` of the largest are told by a warning with what is reached, and by ``missed``.
     """
     k = sum(c.startswith("p_") and c[2:].isdigit() for c in members.columns)
     t = F.col("n_tokens").cast("double")
@@ -188,10 +189,15 @@ def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float =
         return Fit([], [], upper, [0.0] * k, [0.0] * k)
     have = [first[f"t{i}"] / first["all"] for i in range(k)]
     want = list(weights) if weights is not None else [h**flatten for h in have]
+    if any(w > 0 and not h for h, w in zip(have, want, strict=True)):
+        warnings.warn("mixing: a domain with a weight has no tokens; the other weights share its target", stacklevel=2)
+    want = [w if h > 0 else 0.0 for h, w in zip(have, want, strict=True)]
+    if not sum(want):
+        raise ValueError("no domain with tokens has a weight")
     want = [w / sum(want) for w in want]
-    whole = ROOM * min((h / w for h, w in zip(have, want, strict=True) if w > 0), default=1.0)
+    whole = 1.0 if upper is None else min(1.0, *(upper * h / w for h, w in zip(have, want, strict=True) if w > 0))
     targets = [min(h, w) if short else w * whole for h, w in zip(have, want, strict=True)]
-    fit, goal = Fit([], [], upper, targets, have), tolerance * max(targets)
+    fit, goal = Fit([], [], upper, targets, have, total=first["all"]), tolerance * max(targets)
     off = lambda: [g - w for g, w in zip(fit.reached, targets, strict=True)]
     while max(map(abs, off())) > goal and len(fit.steps) < PLAIN:
         fit.steps.append([o / h if h > 0 else 0.0 for o, h in zip(off(), have, strict=True)])
@@ -206,25 +212,32 @@ def fit_rates(members: DataFrame, weights: list[float] | None, flatten: float =
     return fit
 
 
-def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, flatten: float = 0.7, upper: float | None = 1.0, text: str = "text", columns: list[str] | None = None, short: bool = False) -> DataFrame:
-    """``docs`` (or its ``columns``, doc_id among them) with domain, membership, n_tokens, rate and copies.
+ADDED = ["domain", "membership", "n_tokens", "rate", "copies", "target_tokens", "expected_tokens"]
+
+
+def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, flatten: float = 0.7, upper: float | None = 4.0, text: str = "text", columns: list[str] | None = None, short: bool = False) -> DataFrame:
+    """``docs`` (or its ``columns``) with domain, membership, n_tokens, rate, copies, target_tokens and expected_tokens.
 
     ``domain`` is the likeliest one and ``membership`` its probability; ``copies`` is the rate,
-    rounded up or down by a hash of doc_id so that its mean is the rate.
+    rounded up or down by a hash of doc_id so that its mean is the rate. ``target_tokens`` is the
+    domain's target and ``expected_tokens`` what the rates of all documents give it.
     """
     model = learn(labelled, domain, text)
-    base = docs.drop("domain", "membership", "n_tokens", "rate", "copies")
-    kept = [c for c in base.columns if columns is None or c in columns]
+    kept = [c for c in docs.columns if c.lower() not in ADDED and (columns is None or c in columns)]
+    # the given columns travel as one, so that no name clashes with those in use here
+    rows = docs.select(F.struct(*kept).alias("given"), F.col(text).alias("text"), F.col("doc_id").alias("doc_id"))
+    chance = (F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 20)) + 0.5) / float(1 << 20)
     if not model.domains:
-        return base.select(*kept, F.lit(None).cast("string").alias("domain"), F.lit(0.0).alias("membership"), F.size(words(text)).cast("long").alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
+        n = F.size(words("text")).cast("long")
+        return rows.select("given.*", F.lit(None).cast("string").alias("domain"), F.lit(0.0).alias("membership"), n.alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"), F.lit(None).cast("double").alias("target_tokens"), F.lit(None).cast("double").alias("expected_tokens"))
     k = len(model.domains)
-    members = memberships(base, model, text)
+    members = memberships(rows, model)
     # written with the columns that go on, so that the texts are read and the words looked up once
-    members = common.persist(members.select(*kept, "n_tokens", *(f"p_{i}" for i in range(k))), "members")
+    members = common.persist(members.select("given", "doc_id", "n_tokens", *(f"p_{i}" for i in range(k))), "members")
     fit = fit_rates(members, None if weights is None else [weights.get(d, 0.0) for d in model.domains], flatten, upper, short=short)
     best = F.greatest(*(F.col(f"p_{i}") for i in range(k))) if k > 1 else F.col("p_0")
-    name = F.coalesce(*(F.when(F.col(f"p_{i}") == F.col("membership"), F.lit(d)) for i, d in enumerate(model.domains)))
-    out = members.withColumn("membership", best).withColumn("domain", name).withColumn("rate", F.expr(fit.rate()))
-    chance = (F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+    by_domain = lambda of: F.coalesce(*(F.when(F.col(f"p_{i}") == F.col("membership"), F.lit(v)) for i, v in enumerate(of)))
+    out = members.withColumn("membership", best).withColumn("domain", by_domain(model.domains)).withColumn("rate", F.expr(fit.rate()))
     out = out.withColumn("copies", F.floor(F.col("rate") + chance).cast("long"))
-    return out.select(*kept, "domain", "membership", "n_tokens", "rate", "copies")
+    out = out.withColumn("target_tokens", by_domain([v * fit.total for v in fit.targets])).withColumn("expected_tokens", by_domain([v * fit.total for v in fit.reached]))
+    return out.select("given.*", *ADDED)

@@ -15,9 +15,12 @@ def vocabulary(name: str) -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates that flatten the shares of the languages, with soft membership."""
+    """Rates that flatten the shares of the languages, with soft membership; no document comes more than four times.
+
+    Domains are languages, as a text tells its language and not its source.
+    """
     docs = common.table(spark, sf_dir, "documents")
-    return mixing.mix(docs, docs, domain="lang", flatten=0.7, columns=["doc_id"]).select("doc_id", "domain", "membership", "n_tokens", "rate", "copies")
+    return mixing.mix(docs, docs, domain="lang", flatten=0.7, upper=4.0, columns=["doc_id"])
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

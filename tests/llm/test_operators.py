@@ -5,12 +5,14 @@ import functools
 import hashlib
 import math
 import random
+import re
 import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import binary_output, common, language_id, language_model, line_dedup, media, mixing, near_dedup, neighbours, packing, quality
@@ -55,7 +57,7 @@ def plain_descent(t, p, targets, upper, tolerance=1e-4):
 
 
 def test_mixing_matches_plain_descent(spark, docs):
-    found = mixing.mix(docs, docs, "lang", flatten=0.7)
+    found = mixing.mix(docs, docs, "lang", flatten=0.7, upper=1.0)
     model = mixing.learn(docs, "lang")
     k = len(model.domains)
     rows = mixing.memberships(docs.select("doc_id", "text", "lang"), model).join(found.select("doc_id", "rate", "copies", "domain"), "doc_id").toPandas()
@@ -64,7 +66,7 @@ def test_mixing_matches_plain_descent(spark, docs):
     assert (rows["n_tokens"] == [len((x or "").split()) for x in rows["text"]]).all()
     have = (t[:, None] * p).sum(0) / t.sum()
     want = have**0.7 / (have**0.7).sum()
-    want *= mixing.ROOM * (have / want).min()
+    want *= (have / want).min()
     best = plain_descent(t, p, want, 1.0)
     assert np.abs(rows["rate"] - best).max() < 1e-6
     got = (t[:, None] * p * rows["rate"].to_numpy()[:, None]).sum(0) / t.sum()
@@ -73,6 +75,36 @@ def test_mixing_matches_plain_descent(spark, docs):
     assert set(rows["copies"]) <= {0, 1}
 
 
+def test_mixing_repeats_what_is_scarce(spark, docs):
+    """Equal shares for all languages keep the corpus's size: scarce ones come several times."""
+    equal = {r["lang"]: 1.0 for r in docs.select("lang").distinct().collect()}
+    for upper in (None, 20.0):
+        rows = mixing.mix(docs, docs, "lang", weights=equal, upper=upper).toPandas()
+        whole = rows["n_tokens"].sum()
+        assert abs((rows["rate"] * rows["n_tokens"]).sum() / whole - 1) < 0.01 and rows["copies"].max() > 1
+        totals = rows.groupby("domain")[["target_tokens", "expected_tokens"]].first()
+        assert np.allclose(totals["target_tokens"], whole / len(equal)) and np.allclose(totals["expected_tokens"], totals["target_tokens"], rtol=1e-3)
+
+
+def test_mixing_classifier_matches_plain_counts(spark, docs):
+    rows = [r for r in docs.select("text", "lang").collect() if r["lang"]]
+    bucket = lambda w: (np.int64(np.uint64(xxhash.xxh64_intdigest(w.encode(), seed=42)).astype(np.int64)) % 4096).item()
+    names = sorted({r["lang"] for r in rows})
+    counts, n = np.full((len(names), 4096), 0.5), np.zeros(len(names))
+    split = lambda t: re.findall(r"[^ \t\n\x0b\x0c\r]+", t or "")
+    for r in rows:
+        n[names.index(r["lang"])] += 1
+        np.add.at(counts[names.index(r["lang"])], [bucket(w) for w in split(r["text"])], 1)
+    model = mixing.learn(docs, "lang")
+    logs = np.log(counts / counts.sum(1, keepdims=True))
+    assert model.domains == names and np.allclose(model.weights, logs) and np.allclose(model.prior, np.log(n / n.sum()))
+    for r in mixing.memberships(docs, model).limit(30).collect():
+        found = [bucket(w) for w in split(r["text"])]
+        z = logs.round(4)[:, found].sum(1) / math.sqrt(max(1, len(found))) + np.log(n / n.sum())
+        p = np.exp(z - z.max())
+        assert np.allclose([r[f"p_{i}"] for i in range(len(names))], p / p.sum(), atol=1e-9)
+
+
 def test_mixing_keeps_the_whole_target(spark, docs):
     model = mixing.learn(docs, "lang")
     assert model.buckets == 4096
@@ -120,7 +152,15 @@ def test_mixing_tells_targets_out_of_reach(spark):
 def test_mixing_odd_tables(spark):
     docs = odd_documents(spark)
     rows = mixing.mix(docs, docs, "lang").collect()
-    assert len(rows) == 11 and all(0 <= r["rate"] <= 1 for r in rows)
+    assert len(rows) == 11 and all(0 <= r["rate"] <= 4 for r in rows)
+    clash = docs.selectExpr("*", "1 AS p_0", "2 AS _top", "3 AS _b", "4 AS given", "5 AS r", "6 AS Rate", "7 AS _s0")
+    again = mixing.mix(clash, docs, "lang").collect()
+    assert sorted((str(r["doc_id"]), r["rate"]) for r in again) == sorted((str(r["doc_id"]), r["rate"]) for r in rows)
+    assert {(r["p_0"], r["_top"], r["_b"], r["given"], r["r"], r["_s0"]) for r in again} == {(1, 2, 3, 4, 5, 7)}
+    with pytest.warns(UserWarning, match="no tokens"):
+        blank_domain = docs.selectExpr("doc_id", "if(doc_id = 4, '', text) AS text", "if(doc_id = 4, 'xx', lang) AS lang").filter("lang = 'xx' OR lang = 'en'")
+        mixing.fit_rates(spark.createDataFrame([(5, 1.0, 0.0), (0, 0.0, 1.0)], "n_tokens long, p_0 double, p_1 double"), [0.5, 0.5])
+    assert all(r["rate"] >= 0 for r in mixing.mix(blank_domain, blank_domain, "lang").collect())
     blank = {r["doc_id"]: r["n_tokens"] for r in rows}
     assert blank[3] == blank[4] == blank[5] == 0
     assert mixing.mix(empty_documents(spark), empty_documents(spark), "lang").count() == 0
