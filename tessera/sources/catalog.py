@@ -23,7 +23,7 @@ from .sql_text import DialectError, Node, Parser, Token, statements, tokens
 from .translate import INT, REAL, TEXT, Scope, Translator, quoted
 
 COMPACT_AFTER = 16
-ROWID = "rowid"
+ROWID, NTH = "rowid", "_nth"  # the latter: a row's place in its statement
 _SPARK = {"INTEGER": T.LongType(), "REAL": T.DoubleType(), "TEXT": T.StringType()}
 _sequence = itertools.count()
 
@@ -48,6 +48,8 @@ class Table:
     next_id: int = 1
     changes: int = 0
     sql: str = ""
+    #: Columns that are unique together, by the name of the constraint or index.
+    uniques: dict[str, list[str]] = field(default_factory=dict)
 
     def names(self) -> list[str]:
         return [c.name for c in self.columns]
@@ -55,6 +57,16 @@ class Table:
     def key(self) -> list[str]:
         return [c.name for c in self.columns if c.primary]
 
+    def keys(self) -> list[list[str]]:
+        """All sets of columns that no two rows may share."""
+        return [self.key()] * bool(self.key()) + [[c.name] for c in self.columns if c.unique and not c.primary] + list(self.uniques.values())
+
+    def own(self, name: str) -> str:
+        found = next((c.name for c in self.columns if c.name.lower() == name.lower()), None)
+        if found is None:
+            raise DialectError(f"no such column: {name}")
+        return found
+
 
 @dataclass
 class _State:
@@ -233,18 +245,19 @@ class Database:
             return
         p.need("(")
         columns: list[Column] = []
+        uniques: dict[str, list[str]] = {}
         while True:
             if p.peek("PRIMARY", "UNIQUE", "CHECK", "FOREIGN", "CONSTRAINT"):
-                self._table_constraint(p, columns)
+                self._table_constraint(p, columns, uniques)
             else:
                 columns.append(self._column(p))
             if not p.take(","):
                 break
         p.need(")")
         schema = T.StructType([T.StructField(c.name, _SPARK[c.kind]) for c in columns] + [T.StructField(ROWID, T.LongType())])
-        self.state.tables[name.lower()] = Table(name, columns, self.spark.createDataFrame([], schema), sql=self.text)
+        self.state.tables[name.lower()] = Table(name, columns, self.spark.createDataFrame([], schema), sql=self.text, uniques=uniques)
 
-    def _table_constraint(self, p: Parser, columns: list[Column]) -> None:
+    def _table_constraint(self, p: Parser, columns: list[Column], uniques: dict[str, list[str]]) -> None:
         if p.take("CONSTRAINT"):
             p.name()
         if p.take("PRIMARY", "KEY"):
@@ -252,8 +265,11 @@ class Database:
                 next(x for x in columns if x.name.lower() == c.lower()).primary = True
         elif p.take("UNIQUE"):
             names = p.names()
-            if len(names) == 1:
-                next(x for x in columns if x.name.lower() == names[0].lower()).unique = True
+            found = [next(x for x in columns if x.name.lower() == n.lower()) for n in names]
+            if len(found) == 1:
+                found[0].unique = True
+            else:
+                uniques[f"({len(uniques)})"] = [x.name for x in found]
         elif p.take("CHECK", "("):
             check = p.expr()
             p.need(")")
@@ -313,21 +329,29 @@ class Database:
         self.state.views[name.lower()] = (_Lazy(self, q), _LazyShape(self, q), self.text)
 
     def _create_index(self, p: Parser) -> None:
-        p.take("UNIQUE")
+        unique = p.take("UNIQUE")
         p.need("INDEX")
         self._exists(p, "NOT", "EXISTS")
-        p.name()
+        index = p.name().lower()
         p.need("ON")
-        self._table(p.name())
+        t = self._table(p.name())
         p.need("(")
-        p.listed(p.ordering)
+        listed = p.listed(p.ordering)
         p.need(")")
+        columns = [x[0].value[1] for x in listed if x[0].kind == "column"]
+        if unique and len(columns) == len(listed):
+            key = [t.own(c) for c in columns]
+            self._no_repeats(t, t.df, key)
+            self.state.tables[t.name.lower()] = replace(t, uniques={**t.uniques, index: key})
 
     def _drop(self, p: Parser) -> None:
         kind = p.name().upper()
         quiet = self._exists(p, "EXISTS")
         name = p.name()
         where = {"TABLE": self.state.tables, "VIEW": self.state.views}.get(kind, {})
+        if kind == "INDEX":
+            for low, t in self.state.tables.items():
+                self.state.tables[low] = replace(t, uniques={k: v for k, v in t.uniques.items() if k != name.lower()})
         if kind != "INDEX" and where.pop(name.lower(), None) is None and not quiet:
             raise DialectError(f"no such {kind.lower()}: {name}")
 
@@ -365,7 +389,7 @@ class Database:
         t = self._numbered(self._table(p.name()))
         names = t.names()
         given = p.names() if p.peek("(") else names
-        given = [next((n for n in names if n.lower() == g.lower()), None) or self._unknown(g) for g in given]
+        given = [t.own(g) for g in given]
         new = self._incoming(p, t, given)
         target, sets = None, None
         if p.take("ON", "CONFLICT"):
@@ -379,19 +403,18 @@ class Database:
                 policy = "UPDATE"
         shown = self._returning(p)
         new = self._placed(new, t)
-        keys = [[next(c.name for c in t.columns if c.name.lower() == k.lower()) for k in target]] if target else [[*t.key()]] * bool(t.key()) + [[c.name] for c in t.columns if c.unique and not c.primary]
+        keys = [[t.own(k) for k in target]] if target else t.keys()
         old = t.df
         if policy == "IGNORE":
             for key in keys:
-                new = self._first(new, key)
-                new = new.join(old.select(*key).dropna().distinct(), key, "left_anti").select(*names, ROWID)
-            new = new.checkpoint()
+                new = new.join(old.select(*key).dropna().distinct(), key, "left_anti").select(*names, ROWID, NTH)
+            new = self._accepted(new.checkpoint(), keys).checkpoint()
         elif policy == "REPLACE":
-            for key in keys:
-                new = self._first(new, key, last=True)
+            # a row replaces whatever shares a key with it, stored or earlier in the statement
             new = new.checkpoint()
             for key in keys:
                 old = old.join(new.select(*key).dropna().distinct(), key, "left_anti").select(*names, ROWID)
+            new = self._ranked(new, keys, last=True).filter("_first").drop("_first").checkpoint()
         elif policy == "UPDATE":
             return self._upsert(t, new, keys[0], sets, shown)
         else:
@@ -402,9 +425,6 @@ class Database:
         self._store(replace(t, df=old.select(*names, ROWID).unionByName(new.select(*names, ROWID)), next_id=max(t.next_id, (top or 0) + 1)), n, inserted=bool(n))
         return self._show(new, t, shown)
 
-    def _unknown(self, name: str):
-        raise DialectError(f"no such column: {name}")
-
     def _incoming(self, p: Parser, t: Table, given: list[str]) -> DataFrame:
         """The statement's rows with all columns of the table and their order."""
         tr = self._translator()
@@ -440,25 +460,46 @@ class Database:
 
     def _placed(self, new: DataFrame, t: Table) -> DataFrame:
         """Number incoming rows; an integer primary key is the rowid, and a null one takes it."""
-        new = with_rowid(new.checkpoint(), "_o", name="_n").withColumn(ROWID, F.col("_n") + (t.next_id - 1)).drop("_o", "_n")
+        new = with_rowid(new.checkpoint(), "_o", name=NTH).withColumn(ROWID, F.col(NTH) + (t.next_id - 1)).drop("_o")
         key = t.key()
         if len(key) == 1 and next(c for c in t.columns if c.name == key[0]).kind == "INTEGER":
             new = new.withColumn(key[0], F.coalesce(key[0], ROWID)).withColumn(ROWID, F.col(key[0]))
         return new
 
-    def _first(self, new: DataFrame, key: list[str], last: bool = False) -> DataFrame:
-        """One incoming row per key; null keys never conflict."""
-        known = " AND ".join(f"{quoted(k)} IS NOT NULL" for k in key)
-        order = Window.partitionBy(*key).orderBy(F.col(ROWID).desc() if last else F.col(ROWID))
-        kept = new.filter(known).withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
-        return kept.unionByName(new.filter(f"NOT ({known})"))
+    @staticmethod
+    def _known(key: list[str]) -> str:
+        return " AND ".join(f"{quoted(k)} IS NOT NULL" for k in key)
+
+    def _ranked(self, new: DataFrame, keys: list[list[str]], last: bool = False) -> DataFrame:
+        """``new`` with ``_first``: whether a row is the statement's first (or last) of each of its keys; null keys are no keys."""
+        order = F.col(NTH).desc() if last else F.col(NTH)
+        out = new.withColumn("_first", F.lit(True))
+        for key in keys:
+            # rows without the key are dealt by their own number, so that they do not meet in one task
+            window = Window.partitionBy(*key, F.expr(f"if({self._known(key)}, 0L, {NTH})")).orderBy(order)
+            out = out.withColumn("_first", F.col("_first") & (F.row_number().over(window) == 1))
+        return out
+
+    def _accepted(self, new: DataFrame, keys: list[list[str]]) -> DataFrame:
+        """The rows that find none of their keys taken by an earlier accepted row."""
+        ranked = self._ranked(new, keys)
+        out = ranked.filter("_first").drop("_first")
+        if len(keys) < 2:
+            return out
+        # a row that loses to one which loses itself may stay: it is asked again without the losers
+        rest = ranked.filter("NOT _first").drop("_first")
+        for key in keys:
+            rest = rest.join(out.select(*key).dropna().distinct(), key, "left_anti").select(*new.columns)
+        rest = rest.checkpoint()
+        return out.unionByName(self._accepted(rest, keys)) if rest.limit(1).count() else out
+
+    def _no_repeats(self, t: Table, rows: DataFrame, key: list[str]) -> None:
+        if rows.select(*key).dropna().groupBy(*key).count().filter("count > 1").limit(1).count():
+            raise DialectError(f"UNIQUE constraint failed: {', '.join(f'{t.name}.{k}' for k in key)}")
 
     def _no_conflict(self, t: Table, new: DataFrame, keys: list[list[str]]) -> None:
         for key in keys:
-            both = t.df.select(*key).unionByName(new.select(*key)).dropna()
-            hit = new.select(*key).join(both.groupBy(*key).count().filter("count > 1"), key, "left_semi").limit(1).count()
-            if hit:
-                raise DialectError(f"UNIQUE constraint failed: {', '.join(f'{t.name}.{k}' for k in key)}")
+            self._no_repeats(t, t.df.select(*key).join(new.select(*key).dropna().distinct(), key, "left_semi").unionByName(new.select(*key)), key)
 
     def _check(self, t: Table, new: DataFrame) -> None:
         """NOT NULL and CHECK over the incoming rows, in one job; a null check passes."""
@@ -484,34 +525,32 @@ class Database:
     def _upsert(self, t: Table, new: DataFrame, key: list[str], sets: list[tuple[str, Node]], shown) -> DataFrame | None:
         names = t.names()
         kinds = {c.name: {"INTEGER": INT, "REAL": REAL}.get(c.kind, TEXT) for c in t.columns}
-        new = new.checkpoint()
-        # repeated keys within the statement: the first row is inserted, the last one decides the update
-        first, last = self._first(new, key), self._first(new, key, last=True)
-        fresh = first.join(t.df.select(*key).distinct(), key, "left_anti").select(*names, ROWID)
-        base = t.df.select(*names, ROWID).unionByName(fresh)
-        again = last.join(fresh.select(*key, F.col(ROWID).alias("_own")), key, "left").filter(f"_own IS NULL OR _own <> {ROWID}").select(*names)
+        # a key's rows come one after another: the first of a new key is inserted, each other one updates
+        window = Window.partitionBy(*key, F.expr(f"if({self._known(key)}, 0L, {NTH})")).orderBy(NTH)
+        new = new.withColumn("_turn", F.row_number().over(window)).join(t.df.select(*key).dropna().distinct().withColumn("_held", F.lit(1)), key, "left")
+        new = new.withColumn("_turn", F.col("_turn") - F.when(F.col("_held").isNull(), 1).otherwise(0)).checkpoint()
+        base = t.df.select(*names, ROWID, F.lit(False).alias("_hit")).unionByName(new.filter("_turn = 0").select(*names, ROWID, F.lit(True).alias("_hit")))
         scope = Scope()
         scope.add(t.name, kinds)
         scope.add("excluded", kinds)
         scope.sources[t.name.lower()][ROWID] = INT
         tr = self._translator()
-        left, right = base.alias(t.name), again.alias("excluded")
         match = F.expr(" AND ".join(f"{quoted(t.name)}.{quoted(k)} = excluded.{quoted(k)}" for k in key))
         hit = F.col(f"excluded.{key[0]}").isNotNull()
-        values = {self._own(t, n): tr._as(self._qualified(e, t), kinds[self._own(t, n)], scope) for n, e in sets}
-        done = left.join(right, match, "left").select(*(F.when(hit, F.expr(values[c]).cast(_SPARK[col.kind])).otherwise(F.col(f"{t.name}.{c}")).alias(c) if c in values else F.col(f"{t.name}.{c}").alias(c) for c, col in zip(names, t.columns, strict=True)), F.col(f"{t.name}.{ROWID}").alias(ROWID), hit.alias("_hit"), (F.col(f"{t.name}.{ROWID}") >= t.next_id).alias("_new")).checkpoint()
-        touched = done.filter("_hit OR _new")
+        values = {t.own(n): tr._as(self._qualified(e, t), kinds[t.own(n)], scope) for n, e in sets}
+        n, turns = new.agg(F.count(F.lit(1)), F.max("_turn")).first()
+        for turn in range(1, (turns or 0) + 1):
+            left, right = base.alias(t.name), new.filter(f"_turn = {turn}").select(*names).alias("excluded")
+            base = left.join(right, match, "left").select(*(F.when(hit, F.expr(values[c]).cast(_SPARK[col.kind])).otherwise(F.col(f"{t.name}.{c}")).alias(c) if c in values else F.col(f"{t.name}.{c}").alias(c) for c, col in zip(names, t.columns, strict=True)), F.col(f"{t.name}.{ROWID}").alias(ROWID), (F.col(f"{t.name}._hit") | hit).alias("_hit")).checkpoint()
+        touched = base.filter("_hit").drop("_hit")
         self._check(t, touched)
-        self._store(replace(t, df=done.drop("_hit", "_new"), next_id=(done.agg(F.max(ROWID)).first()[0] or 0) + 1), new.count(), inserted=True)
+        done = base.drop("_hit")
+        for other in t.keys():
+            if other != key or set(other) & set(values):
+                self._no_repeats(t, done, other)
+        self._store(replace(t, df=done, next_id=max(t.next_id, (done.agg(F.max(ROWID)).first()[0] or 0) + 1)), n, inserted=True)
         return self._show(touched, t, shown)
 
-    @staticmethod
-    def _own(t: Table, name: str) -> str:
-        found = next((c.name for c in t.columns if c.name.lower() == name.lower()), None)
-        if found is None:
-            raise DialectError(f"no such column: {name}")
-        return found
-
     def _qualified(self, n, t: Table):
         """Bare columns of an upsert's values are the stored row's."""
         if isinstance(n, tuple):
@@ -540,16 +579,16 @@ class Database:
         marked, scope = self._rows(t, where)
         marked.createOrReplaceTempView(self.prefix + "marked")
         tr = self._translator()
-        values = {self._own(t, n): e for n, e in sets}
+        values = {t.own(n): e for n, e in sets}
         kinds = {c.name: {"INTEGER": INT, "REAL": REAL}.get(c.kind, TEXT) for c in t.columns}
         items = [f"CASE WHEN _hit THEN {'try_cast' if tr.kind(values[c.name], scope) == TEXT and c.kind != 'TEXT' else 'CAST'}({tr.text(values[c.name], scope) if kinds[c.name] == TEXT else tr.value(values[c.name], scope)} AS {_SPARK[c.kind].simpleString()}) ELSE {quoted(c.name)} END AS {quoted(c.name)}" if c.name in values else quoted(c.name) for c in t.columns]
         done = self.spark.sql(f"SELECT {', '.join(items)}, {ROWID}, _hit FROM {self.prefix}marked AS {quoted(t.name)}").checkpoint()
         touched = done.filter("_hit").drop("_hit")
         self._check(t, touched)
         new = done.drop("_hit")
-        for key in ([t.key()] if t.key() else []) + [[c.name] for c in t.columns if c.unique]:
-            if set(key) & set(values) and new.select(*key).dropna().groupBy(*key).count().filter("count > 1").limit(1).count():
-                raise DialectError(f"UNIQUE constraint failed: {', '.join(f'{t.name}.{k}' for k in key)}")
+        for key in t.keys():
+            if set(key) & set(values):
+                self._no_repeats(t, new, key)
         self._store(replace(t, df=new), touched.count())
         return self._show(touched, t, shown)
 
