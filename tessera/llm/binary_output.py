@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from .tokens import encoder
 
 #: Sequences of one record batch.
 BATCH_ROWS = 256
+#: Text of one task, and ids and documents of one file, about.
+TASK_BYTES, FILE_IDS, FILE_DOCS = 64 << 20, 64_000_000, 1_000_000
 
 
 def _at(url: str):
@@ -105,44 +108,80 @@ class SequenceReader:
             yield ids[: mask.true_count] if hasattr(mask, "true_count") else ids[: int(np.count_nonzero(mask.to_numpy(zero_copy_only=False)))]
 
 
+class _Part:
+    """The files of one task: opened, filled, closed under their final names."""
+
+    def __init__(self, folder: str, part: int, length: int, kind: np.dtype, most_ids: int, most_docs: int):
+        self.folder, self.part, self.length, self.kind = folder, part, length, kind
+        self.most_ids, self.most_docs = most_ids, most_docs
+        self.store, self.root = _at(folder)
+        self.store.create_dir(self.root, recursive=True)
+        self.seq, self.writer = 0, None
+
+    def add(self, doc: int | None, ids: bytes) -> dict | None:
+        """Append a document; what is told of the file if that one is full now."""
+        if self.writer is None:
+            self.own = f"{self.root}/.part-{self.part:06d}-{self.seq:05d}-{uuid.uuid4().hex}"
+            self.sink = self.store.open_output_stream(self.own)
+            self.writer = SequenceWriter(self.sink, self.length, self.kind)
+            self.keys, self.starts, self.counts = [], array("q"), array("q")
+        self.keys.append(doc)
+        self.starts.append(self.writer.total)
+        self.counts.append(len(ids) // self.kind.itemsize)
+        self.writer.add(ids)
+        return self.close() if self.writer.total >= self.most_ids or len(self.keys) >= self.most_docs else None
+
+    def close(self) -> dict | None:
+        if self.writer is None:
+            return None
+        self.writer.close()
+        self.sink.close()
+        table = pa.table({"doc_id": pa.array(self.keys, pa.int64()), "start": pa.array(np.array(self.starts)), "n_ids": pa.array(np.array(self.counts))})
+        with self.store.open_output_stream(self.own + ".index") as out, pa.ipc.new_file(out, table.schema) as file:
+            file.write_table(table)
+        name = f"part-{self.part:06d}-{self.seq:05d}.arrow"
+        self.store.move(self.own + ".index", f"{self.root}/{name}.index")
+        self.store.move(self.own, f"{self.root}/{name}")
+        told = {"part": [self.part], "seq": [self.seq], "path": [f"{self.folder}/{name}"], "n_docs": [len(self.keys)], "n_ids": [self.writer.total]}
+        self.seq, self.writer = self.seq + 1, None
+        return told
+
+
 def write_files(docs: DataFrame, folder: str, tokenizer: str, dtype: str = "<u2", end_id: int = 1, length: int = 1024, keeps_space: bool = False, text: str = "text") -> DataFrame:
-    """Write the files; returns one row per file: part, path, first and last key order kept by part, n_docs, n_ids.
+    """Write the files; returns one row per file: part and seq (their order in the stream), path, n_docs, n_ids.
 
-    The order needs one range exchange of the texts; its partitions hold distinct ranges of keys.
+    The order needs one range exchange of the texts.
     """
     kind = np.dtype(dtype)
-    tail = np.array([end_id], kind).tobytes()
+    tail, most = np.array([end_id], kind).tobytes(), (FILE_IDS, FILE_DOCS)
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-        store, root = _at(folder)
-        store.create_dir(root, recursive=True)
-        own = f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
-        writer, index, encode = None, [], encoder(tokenizer, dtype, keeps_space).encode
+        part, encode = None, encoder(tokenizer, dtype, keeps_space).encode
         for batch in batches:
-            if not len(batch):
-                continue
-            if writer is None:
-                sink = store.open_output_stream(own)
-                writer = SequenceWriter(sink, length, kind)
+            part = part or _Part(folder, TaskContext.get().partitionId(), length, kind, *most)
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                index.append((doc, writer.total, len(ids) // kind.itemsize + 1))
-                writer.add(ids + tail)
-        if writer is None:
-            return
-        writer.close()
-        sink.close()
-        keys, starts, counts = zip(*index, strict=True)
-        table = pa.table({"doc_id": pa.array(keys, pa.int64()), "start": pa.array(starts, pa.int64()), "n_ids": pa.array(counts, pa.int64())})
-        with store.open_output_stream(own + ".index") as out, pa.ipc.new_file(out, table.schema) as file:
-            file.write_table(table)
-        name = f"part-{part:06d}.arrow"
-        store.move(own + ".index", f"{root}/{name}.index")
-        store.move(own, f"{root}/{name}")
-        yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/{name}"], "n_docs": [len(index)], "n_ids": [writer.total]})
+                if told := part.add(doc, ids + tail):
+                    yield pa.RecordBatch.from_pydict(told)
+        if part and (told := part.close()):
+            yield pa.RecordBatch.from_pydict(told)
+
+    rows = docs.select(F.col("doc_id"), F.col(text).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(common.slots(docs.sparkSession), -(-size // TASK_BYTES))
+    # the row's place tells equal rows apart, so that a key which a third of all rows have is split too
+    rows = rows.withColumn("by", F.xxhash64("text")).withColumn("nth", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(parts, "doc_id", "by", "nth").sortWithinPartitions("doc_id", "by", "nth").select("doc_id", "text")
+    return ordered.mapInArrow(run, "part long, seq long, path string, n_docs long, n_ids long")
+
+
+def _sweep(folder: str) -> None:
+    """Remove what lost attempts left behind."""
+    from pyarrow import fs
 
-    ordered = docs.select(F.col("doc_id"), F.col(text).alias("text")).repartitionByRange(common.slots(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "part long, path string, n_docs long, n_ids long")
+    store, root = _at(folder)
+    for found in store.get_file_info(fs.FileSelector(root)):
+        if found.base_name.startswith(".part-"):
+            store.delete_file(found.path)
 
 
 def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
@@ -151,7 +190,9 @@ def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     ``files`` is the result of ``write_files``; one row per file is read by the driver to place the
     files in the stream. One task reads one file, batch by batch.
     """
-    found = sorted(files.collect(), key=lambda r: r["part"])
+    found = sorted(files.collect(), key=lambda r: (r["part"], r["seq"]))
+    for folder in {r["path"].rsplit("/", 1)[0] for r in found}:
+        _sweep(folder)
     base, rows = 0, []
     for r in found:
         rows.append((r["path"], base))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -12,17 +11,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder and any other session a folder
-    in the warehouse, which is shared too.
-    """
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; where that is unset, one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if spark.sparkContext.master.startswith("local["):
-            found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -721,7 +721,12 @@ def test_near_dedup_odd_tables(spark):
 
 
 # 10 binary output
-def test_binary_output_round_trip(spark, docs, texts, tmp_path):
+@pytest.mark.parametrize("file_ids, file_docs", [(64_000_000, 1_000_000), (5_000, 7)])
+def test_binary_output_round_trip(spark, docs, texts, tmp_path, monkeypatch, file_ids, file_docs):
+    monkeypatch.setattr(binary_output, "FILE_IDS", file_ids)
+    monkeypatch.setattr(binary_output, "FILE_DOCS", file_docs)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / ".part-000001-00000-left").write_bytes(b"half a file")
     folder = f"file://{tmp_path}/out"
     files = common.persist(binary_output.write_files(docs, folder, vocabulary("word_bpe_49k.json"), length=128), "files")
     got = {r["doc_id"]: r for r in binary_output.read_files(spark, files).collect()}
@@ -732,7 +737,9 @@ def test_binary_output_round_trip(spark, docs, texts, tmp_path):
         at += len(ids)
         stream += ids
     read = []
-    for r in sorted(files.collect(), key=lambda r: r["part"]):
+    assert not list((tmp_path / "out").glob(".part-*"))
+    assert files.count() == len(list((tmp_path / "out").glob("*.arrow"))) and all(r["n_docs"] <= file_docs for r in files.collect())
+    for r in sorted(files.collect(), key=lambda r: (r["part"], r["seq"])):
         with pa.memory_map(r["path"].removeprefix("file://")) as source:
             reader = binary_output.SequenceReader(source)
             before = pa.total_allocated_bytes()
@@ -745,6 +752,12 @@ def test_binary_output_round_trip(spark, docs, texts, tmp_path):
     assert read == stream
 
 
+def test_binary_output_splits_a_repeated_key(spark, tmp_path):
+    docs = spark.createDataFrame([(5, f"text {i % 3}") for i in range(600)], "doc_id long, text string")
+    files = common.persist(binary_output.write_files(docs, f"file://{tmp_path}/same", vocabulary("word_bpe_49k.json")), "files")
+    assert files.count() > 1 and binary_output.read_files(spark, files).count() == 600
+
+
 def test_binary_output_odd_tables(spark, tmp_path):
     files = binary_output.write_files(odd_documents(spark), f"file://{tmp_path}/odd", vocabulary("word_bpe_49k.json"))
     rows = binary_output.read_files(spark, common.persist(files, "files")).collect()
