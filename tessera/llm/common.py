@@ -24,11 +24,14 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def persist(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+def persist(df: DataFrame, name: str, compression: str = "snappy", by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    ``by`` are columns whose values get folders of their own, which may be deleted one by one.
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).partitionBy(*(by or [])).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out

@@ -355,45 +355,113 @@ def test_language_model_base_and_gain(spark, docs, texts):
     assert sum(g for h, g, _ in gain if h) > 0 and sum(g for h, g, _ in gain if not h) > 0
 
 
-def test_language_model_is_normalised():
-    draw = np.random.default_rng(0)
-    words, per = 40, 3
-    contexts = np.sort(draw.choice(5, (words, per)), axis=1).astype("<u2")
-    contexts[:] = [0, 1, 2]
-    counts = draw.integers(0, 9, words * per).astype("<i8")
-    bucket = language_model.Bucket(0, np.full(words, per, "<i4").tobytes(), contexts.tobytes(), counts.tobytes())
-    types = int((bucket.known > 0).sum())
-    customers = np.bincount(bucket.context, weights=counts, minlength=language_model.CONTEXTS)
-    model = {"d1": 0.6, "d0": 0.7, "types": types, "customers": customers, "seed": 1}
+def small_bucket(draw, words=30, split=2, used=(0, 2, 3, 9, 510)):
+    """A bucket of all words in a few contexts; contexts 2 and 3 share a class."""
+    contexts = np.tile(np.array(used, "<u2"), words)
+    counts = draw.integers(0, 9, words * len(used)).astype("<i8")
+    return language_model.Bucket(0, np.full(words, len(used), "<i4").tobytes(), contexts.tobytes(), counts.tobytes(), split)
+
+
+def plain_probability(bucket, seats, model, word, context):
+    """The recursion of the model over dictionaries of customers and tables; ``word`` may be unknown (None)."""
+    S, split = language_model.STRENGTH, bucket.split
+    levels = [collections.defaultdict(lambda: [0, 0]) for _ in range(3)]  # (restaurant, word) -> customers, tables
+    for w, c, n, t in zip(bucket.word, bucket.context, bucket.count, seats[0], strict=True):
+        levels[0][c, w][0] += n
+        levels[0][c, w][1] += t
+        levels[1][c // split, w][0] += t
+    for w, c, t in zip(bucket.mid_word, bucket.mid_class, seats[1], strict=True):
+        levels[1][c, w][1] += t
+        levels[2][0, w][0] += t
+    for w, t in enumerate(seats[2]):
+        levels[2][0, w][1] += t
+    p = 1 / (model["types"] + 1)
+    for level, at, d in ((2, 0, "d0"), (1, context // split, "d2"), (0, context, "d1")):
+        here = [v for (r, _), v in levels[level].items() if r == at]
+        customers, tables = sum(v[0] for v in here), sum(v[1] for v in here)
+        n, t = levels[level][at, word] if word is not None else (0, 0)
+        p = (n - model[d] * t + (S + model[d] * tables) * p) / (S + customers)
+    return p
+
+
+def test_language_model_matches_plain_recursion_and_is_normalised():
+    bucket = small_bucket(np.random.default_rng(0))
+    customers = np.bincount(bucket.context, weights=bucket.count, minlength=512)
+    model = {"d1": 0.6, "d2": 0.5, "d0": 0.7, "types": int((bucket.known > 0).sum()), "customers": customers, "seed": 1}
     history = []
     for _ in range(language_model.SWEEPS + 1):
         history.append(bucket.totals(*bucket.replay(history, model)[-1]))
-    p = bucket.predict(bucket.replay(history[:-1], model), history, model)
-    for c in range(3):
+    seats = bucket.replay(history[:-1], model)
+    p = bucket.predict(seats, history, model)
+    used = range(language_model.BURN_IN + 1, language_model.SWEEPS + 1)
+    want = [np.mean([plain_probability(bucket, seats[i], model, w, c) for i in used]) for w, c in zip(bucket.word.tolist(), bucket.context.tolist(), strict=True)]
+    assert np.allclose(p, want)
+    for c in set(bucket.context.tolist()):
         known = p[(bucket.context == c) & (bucket.known[bucket.word] > 0)].sum()
-        unknown = 0.0
-        used = range(language_model.BURN_IN + 1, language_model.SWEEPS + 1)
-        for i in used:
-            t = history[i]
-            parent = ((language_model.STRENGTH + model["d0"] * t[-1]) / (types + 1)) / (language_model.STRENGTH + t[:-1].sum())
-            unknown += (language_model.STRENGTH + model["d1"] * t[c]) * parent / (language_model.STRENGTH + customers[c])
-        assert known + unknown / len(used) == pytest.approx(1, abs=1e-9)
+        assert known + np.mean([plain_probability(bucket, seats[i], model, None, c) for i in used]) == pytest.approx(1, abs=1e-9)
 
 
 def test_language_model_customers_leave_before_they_sit_down(monkeypatch):
-    # two words in context 0, the first also in context 1
-    bucket = language_model.Bucket(0, np.array([2, 1], "<i4").tobytes(), np.array([0, 1, 0], "<u2").tobytes(), np.array([9, 4, 6], "<i8").tobytes())
-    tables, above = np.array([5, 2, 3]), np.array([2, 1])
-    model = {"d1": 0.6, "d0": 0.7, "types": 2, "seed": 1}
-    asked, seat = [], language_model.seat
+    bucket = small_bucket(np.random.default_rng(5), words=4)
+    model = {"d1": 0.6, "d2": 0.5, "d0": 0.7, "types": 4, "seed": 1}
+    one, two, top = bucket.start()
+    totals, asked, seat = bucket.totals(one, two, top), [], language_model.seat
     monkeypatch.setattr(language_model, "seat", lambda customers, mass, *rest: asked.append(mass) or seat(customers, mass, *rest))
-    bucket.sweep(0, tables, above, bucket.totals(tables, above), model)
-    # without the cell: restaurants hold 3, 0 and 5 tables; the parent 5, 8 and 7 customers, and of the word 2, 5 and 0
-    rest, parent, word = np.array([3, 0, 5]), np.array([5, 8, 7]), np.array([2, 5, 0])
-    kept = np.array([1, 2 * 5 / 7, 0])
-    base = (1 + 0.7 * (3 - np.array([2, 2, 1]) + kept)) / 3
-    assert asked[0] == pytest.approx((1 + 0.6 * rest) * (word - 0.7 * kept + base) / (1 + parent))
-    assert asked[1] == pytest.approx((1 + 0.7 * np.array([1, 2])) / 3)
+    bucket.sweep(0, one, two, top, totals, model)
+    for i in range(len(one)):  # at the start a cell has one table: without it, the plain recursion over the others
+        if not one[i]:
+            continue
+        rest = [x.copy() for x in (one, two, top)]
+        rest[0][i] = 0
+        m, w, c = bucket.mid[i], bucket.word[i], bucket.context[i]
+        rest[1][m] = int(rest[0][bucket.mid == m].sum() > 0)
+        rest[2][w] = int(rest[1][bucket.mid_word == w].sum() > 0)
+        less = small_bucket(np.random.default_rng(5), words=4)
+        less.count = np.where(np.arange(len(one)) == i, 0, less.count)
+        parent = plain_parent(less, rest, model, w, c)
+        assert asked[0][i] == pytest.approx((1 + 0.6 * rest[0][bucket.context == c].sum()) * parent)
+
+
+def plain_parent(bucket, seats, model, word, context):
+    """The class's probability: the recursion without its last level, by a context that nobody has been in."""
+    free = next(c for c in range(context // bucket.split * bucket.split, (context // bucket.split + 1) * bucket.split) if c not in set(bucket.context.tolist())) if context not in (2, 3) else None
+    if free is not None:
+        return plain_probability(bucket, seats, model, word, free)
+    wide = language_model.Bucket(0, np.full(bucket.words, 5, "<i4").tobytes(), (bucket.context * 2).astype("<u2").tobytes(), bucket.count.astype("<i8").tobytes(), 4)
+    return plain_probability(wide, seats, model, word, context * 2 + 1)
+
+
+def test_language_model_score_of_one_bucket(spark, docs, texts, monkeypatch):
+    """The whole path against one bucket made of plain counts."""
+    monkeypatch.setattr(language_model, "LEAST_BUCKETS", 1)
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 1 << 40)
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    order = [(r["doc_id"], r["text"]) for r in docs.coalesce(1).orderBy("doc_id").coalesce(1).collect()]
+    names, cells = {}, collections.Counter()
+    split = max(16, sum(len((t or "").encode()) for _, t in order) // (language_model.CONTEXT_BYTES * 256))
+    for d, t in order:
+        before = 0
+        for w in [*words_of(t), b" "]:
+            cells[names.setdefault(w, len(names)), before] += not held(d)
+            before = int(language_model.contexts_of([w], split)[0])
+    keys = sorted(cells)
+    per, counts = np.bincount([w for w, _ in keys], minlength=len(names)), np.array([cells[k] for k in keys], "<i8")
+    bucket = language_model.Bucket(0, per.astype("<i4").tobytes(), np.array([c for _, c in keys], "<u2").tobytes(), counts.tobytes(), split)
+    facts = language_model._facts(bucket)
+    once = facts[256 * split :].tolist()
+    share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b)))
+    model = {"d1": share(*once[2:4]), "d2": share(*once[4:6]), "d0": share(*once[6:8]), "types": once[0], "customers": facts[: 256 * split], "seed": 3}
+    history = []
+    for _ in range(language_model.SWEEPS + 1):
+        history.append(bucket.totals(*bucket.replay(history, model)[-1]))
+    logs = dict(zip(keys, np.log10(bucket.predict(bucket.replay(history[:-1], model), history, model)), strict=True))
+    got = {r["doc_id"]: r["score"] for r in language_model.score(docs.coalesce(1).orderBy("doc_id").coalesce(1), common.fold("doc_id", 7, 2)).collect()}
+    for d, t in order:
+        before, want = 0, 0.0
+        for w in [*words_of(t), b" "]:
+            want += logs[names[w], before]
+            before = int(language_model.contexts_of([w], split)[0])
+        assert got[d] == pytest.approx(want, rel=1e-5)
 
 
 def test_seating_counts():
@@ -416,6 +484,7 @@ def test_language_model_slices_and_rounds(spark, docs, monkeypatch):
     whole = sorted(language_model.score(docs, common.fold("doc_id", 7, 2)).select("doc_id", "base_score", "n_known").collect(), key=key)
     monkeypatch.setattr(language_model, "SLICE_TOKENS", 3000)
     monkeypatch.setattr(language_model, "FAN_IN", 4)
+    monkeypatch.setattr(language_model, "FIRST_BUCKETS", 6)
     cut = sorted(language_model.score(docs, common.fold("doc_id", 7, 2)).select("doc_id", "base_score", "n_known").collect(), key=key)
     assert [(a["doc_id"], a["n_known"]) for a in whole] == [(b["doc_id"], b["n_known"]) for b in cut]
     assert all(a["base_score"] == pytest.approx(b["base_score"]) for a, b in zip(whole, cut, strict=True))
