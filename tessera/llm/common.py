@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_tracked: list[list[str]] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession):
+    """Deletes at its end the work tables made within; yields their list, from which those to keep are taken out."""
+    _tracked.append([])
+    try:
+        yield _tracked[-1]
+    finally:
+        for path in _tracked.pop():
+            drop_path(spark, path)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _tracked[-1:]:
+        made.append(path)
+    return path
 
 
 def persist(df: DataFrame, name: str, compression: str = "snappy", by: list[str] | None = None) -> DataFrame:

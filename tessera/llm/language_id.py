@@ -100,7 +100,7 @@ def learn(docs: DataFrame, allowed: Column, label: str = "lang", text: str = "te
     """
     rows = docs.filter(allowed & F.col(label).isNotNull() & F.col(text).isNotNull())
     share = min(1.0, at_most / max(1, rows.count()))
-    picked = rows.filter(F.expr(f"pmod(xxhash64(doc_id, 'language'), 1000000) < {int(share * 1_000_000)}")).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id", text, F.lit("language")), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
 
     def run(batches):
         for batch in batches:
@@ -110,10 +110,9 @@ def learn(docs: DataFrame, allowed: Column, label: str = "lang", text: str = "te
     found = picked.mapInArrow(run, "counts binary, label string").toArrow()
     if not found.num_rows:
         return None
-    order = np.argsort([(r or b"") for r in found.column("counts").to_pylist()], kind="stable")
-    counts = np.stack([np.frombuffer(r, "<u4") for r in found.column("counts").to_pylist()]).astype(np.float32)
-    names = found.column("label").to_pylist()
-    return train(counts[order], [names[i] for i in order])
+    # in an order of their own, as rows arrive in any
+    pairs = sorted(zip(found.column("counts").to_pylist(), found.column("label").to_pylist(), strict=True))
+    return train(np.stack([np.frombuffer(r, "<u4") for r, _ in pairs]).astype(np.float32), [name for _, name in pairs])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ import corpus_pipeline
 from tessera.llm import common
 from tessera.llm.shingles import shingle_set
 
+from .helpers import empty_documents, odd_documents
 from .test_operators import check_pieces, plain_components, plain_lines
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +80,27 @@ def test_run(spark, results):
     got = corpus_pipeline.run(spark, SF).select(*cols)
     want = results[-1][1].select(*cols)
     assert got.groupBy("doc_id").count().orderBy("doc_id").collect() and {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in want.collect()}
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    for made in (odd_documents(spark), empty_documents(spark)):
+        docs = made
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = common.persist(stage(spark, docs, SF), name.replace(" ", "-"))
+            assert after.columns == docs.columns, name
+            docs = after
+        rows = corpus_pipeline.pack(spark, docs, SF).collect()
+        assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+        if made.columns and made.count():
+            # whatever the classifier makes of these texts, the copy of document 0 and null texts' lines behave
+            assert {r["doc_id"] for r in docs.collect()} <= {r["doc_id"] for r in made.collect()}
+
+
+def test_run_leaves_no_work_tables_of_its_stages(spark):
+    from pathlib import Path
+
+    root = Path(common.shared_dir(spark).removeprefix("file://")) / "tessera"
+    before = set(root.iterdir()) if root.exists() else set()
+    corpus_pipeline.run(spark, SF)
+    left = {p.name.rsplit("-", 1)[0] for p in set(root.iterdir()) - before}
+    assert left <= {"mixing", "pack"}
