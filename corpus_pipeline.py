@@ -61,8 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each stage's result is written and read back."""
-    docs = common.table(spark, sf_dir, "documents")
+    """Apply all stages to ``documents``; each stage's result is written and read back.
+
+    A stage's work tables go once its result is written, and that one once the next stage's is.
+    """
+    docs, written = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.persist(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with common.cleared(spark) as made:
+            docs = common.persist(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            made.remove(docs._tessera_path)
+            if written:
+                made.append(written)
+            written = docs._tessera_path
     return STAGES[-1][1](spark, docs, sf_dir)
