@@ -1,15 +1,16 @@
 """A database of named tables: statements in, DataFrames out.
 
 A table is an immutable DataFrame with a hidden ``rowid``; a statement that changes it makes a new
-version, so a transaction's snapshot is a copy of references. New rows are checkpointed when they
-are made (their values may come from random numbers or from the table itself); after
-``COMPACT_AFTER`` changes the whole version is, which keeps plans short.
+version, so a transaction's snapshot is a copy of references. Rows that a statement adds, changes or
+deletes are stored when it runs (their values may come from random numbers or from the table itself),
+as Parquet; rows that it does not touch stay where they are and are read without the others. After
+``COMPACT_AFTER`` changes the whole version is stored, which keeps plans short. ``close`` deletes all.
 """
 
 from __future__ import annotations
 
 import itertools
-import tempfile
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -80,17 +81,23 @@ class Database:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         compat.register(spark)
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            found = spark.conf.get("spark.checkpoint.dir", None)
-            if not found:
-                local = context.master.startswith("local[")
-                found = tempfile.mkdtemp(prefix="tessera-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-            context.setCheckpointDir(found)
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        self.folder, self.kept = f"{root.rstrip('/')}/tessera-db-{uuid.uuid4().hex[:12]}", itertools.count()
         self.state, self.saved = _State(), None
         self.counters = {"changes": 0, "total_changes": 0, "last_insert_rowid": 0}
         self.prefix = f"_t{next(_sequence)}_"
 
+    def close(self) -> None:
+        """Delete what the database has stored; frames that read it are of no use after that."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """``df`` computed once, as Parquet in the database's folder."""
+        path = f"{self.folder}/{next(self.kept)}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     # registry
     def attach(self, name: str, df: DataFrame, key: str | None = None) -> None:
         """Register a DataFrame as a table; its rows get no rowid until a statement needs one."""
@@ -238,7 +245,7 @@ class Database:
         if p.take("AS"):
             q = p.query()
             t = self._translator()
-            shape, df = t.shape(q, None), self.spark.sql(t.query(q, None)).checkpoint()
+            shape, df = t.shape(q, None), self._kept(self.spark.sql(t.query(q, None)))
             kinds = {INT: "INTEGER", REAL: "REAL"}
             columns = [Column(c, kinds.get(k, "TEXT")) for c, k in zip(df.columns, shape.values(), strict=True)]
             self.state.tables[name.lower()] = Table(name, columns, df, sql=self.text)
@@ -372,7 +379,7 @@ class Database:
     def _store(self, t: Table, changed: int, inserted: bool = False) -> None:
         t = replace(t, changes=t.changes + 1)
         if t.changes % COMPACT_AFTER == 0:
-            t = replace(t, df=t.df.checkpoint())
+            t = replace(t, df=self._kept(t.df))
         self.state.tables[t.name.lower()] = t
         if inserted:
             self.counters["last_insert_rowid"] = t.next_id - 1
@@ -408,17 +415,17 @@ class Database:
         if policy == "IGNORE":
             for key in keys:
                 new = new.join(old.select(*key).dropna().distinct(), key, "left_anti").select(*names, ROWID, NTH)
-            new = self._accepted(new.checkpoint(), keys).checkpoint()
+            new = self._kept(self._accepted(self._kept(new), keys))
         elif policy == "REPLACE":
             # a row replaces whatever shares a key with it, stored or earlier in the statement
-            new = new.checkpoint()
+            new = self._kept(new)
             for key in keys:
                 old = old.join(new.select(*key).dropna().distinct(), key, "left_anti").select(*names, ROWID)
-            new = self._ranked(new, keys, last=True).filter("_first").drop("_first").checkpoint()
+            new = self._kept(self._ranked(new, keys, last=True).filter("_first").drop("_first"))
         elif policy == "UPDATE":
             return self._upsert(t, new, keys[0], sets, shown)
         else:
-            new = new.checkpoint()
+            new = self._kept(new)
             self._no_conflict(t, new, keys)
         self._check(t, new)
         n, top = new.agg(F.count(F.lit(1)), F.max(ROWID)).first()
@@ -460,7 +467,7 @@ class Database:
 
     def _placed(self, new: DataFrame, t: Table) -> DataFrame:
         """Number incoming rows; an integer primary key is the rowid, and a null one takes it."""
-        new = with_rowid(new.checkpoint(), "_o", name=NTH).withColumn(ROWID, F.col(NTH) + (t.next_id - 1)).drop("_o")
+        new = with_rowid(self._kept(new), "_o", name=NTH).withColumn(ROWID, F.col(NTH) + (t.next_id - 1)).drop("_o")
         key = t.key()
         if len(key) == 1 and next(c for c in t.columns if c.name == key[0]).kind == "INTEGER":
             new = new.withColumn(key[0], F.coalesce(key[0], ROWID)).withColumn(ROWID, F.col(key[0]))
@@ -490,7 +497,7 @@ class Database:
         rest = ranked.filter("NOT _first").drop("_first")
         for key in keys:
             rest = rest.join(out.select(*key).dropna().distinct(), key, "left_anti").select(*new.columns)
-        rest = rest.checkpoint()
+        rest = self._kept(rest)
         return out.unionByName(self._accepted(rest, keys)) if rest.limit(1).count() else out
 
     def _no_repeats(self, t: Table, rows: DataFrame, key: list[str]) -> None:
@@ -528,7 +535,7 @@ class Database:
         # a key's rows come one after another: the first of a new key is inserted, each other one updates
         window = Window.partitionBy(*key, F.expr(f"if({self._known(key)}, 0L, {NTH})")).orderBy(NTH)
         new = new.withColumn("_turn", F.row_number().over(window)).join(t.df.select(*key).dropna().distinct().withColumn("_held", F.lit(1)), key, "left")
-        new = new.withColumn("_turn", F.col("_turn") - F.when(F.col("_held").isNull(), 1).otherwise(0)).checkpoint()
+        new = self._kept(new.withColumn("_turn", F.col("_turn") - F.when(F.col("_held").isNull(), 1).otherwise(0)).drop("_held"))
         base = t.df.select(*names, ROWID, F.lit(False).alias("_hit")).unionByName(new.filter("_turn = 0").select(*names, ROWID, F.lit(True).alias("_hit")))
         scope = Scope()
         scope.add(t.name, kinds)
@@ -541,7 +548,7 @@ class Database:
         n, turns = new.agg(F.count(F.lit(1)), F.max("_turn")).first()
         for turn in range(1, (turns or 0) + 1):
             left, right = base.alias(t.name), new.filter(f"_turn = {turn}").select(*names).alias("excluded")
-            base = left.join(right, match, "left").select(*(F.when(hit, F.expr(values[c]).cast(_SPARK[col.kind])).otherwise(F.col(f"{t.name}.{c}")).alias(c) if c in values else F.col(f"{t.name}.{c}").alias(c) for c, col in zip(names, t.columns, strict=True)), F.col(f"{t.name}.{ROWID}").alias(ROWID), (F.col(f"{t.name}._hit") | hit).alias("_hit")).checkpoint()
+            base = self._kept(left.join(right, match, "left").select(*(F.when(hit, F.expr(values[c]).cast(_SPARK[col.kind])).otherwise(F.col(f"{t.name}.{c}")).alias(c) if c in values else F.col(f"{t.name}.{c}").alias(c) for c, col in zip(names, t.columns, strict=True)), F.col(f"{t.name}.{ROWID}").alias(ROWID), (F.col(f"{t.name}._hit") | hit).alias("_hit")))
         touched = base.filter("_hit").drop("_hit")
         self._check(t, touched)
         done = base.drop("_hit")
@@ -582,24 +589,27 @@ class Database:
         values = {t.own(n): e for n, e in sets}
         kinds = {c.name: {"INTEGER": INT, "REAL": REAL}.get(c.kind, TEXT) for c in t.columns}
         items = [f"CASE WHEN _hit THEN {'try_cast' if tr.kind(values[c.name], scope) == TEXT and c.kind != 'TEXT' else 'CAST'}({tr.text(values[c.name], scope) if kinds[c.name] == TEXT else tr.value(values[c.name], scope)} AS {_SPARK[c.kind].simpleString()}) ELSE {quoted(c.name)} END AS {quoted(c.name)}" if c.name in values else quoted(c.name) for c in t.columns]
-        done = self.spark.sql(f"SELECT {', '.join(items)}, {ROWID}, _hit FROM {self.prefix}marked AS {quoted(t.name)}").checkpoint()
-        touched = done.filter("_hit").drop("_hit")
+        touched = self._kept(self.spark.sql(f"SELECT {', '.join(items)}, {ROWID} FROM {self.prefix}marked AS {quoted(t.name)} WHERE _hit"))
         self._check(t, touched)
-        new = done.drop("_hit")
+        new = self._without(t, touched).unionByName(touched)
         for key in t.keys():
             if set(key) & set(values):
                 self._no_repeats(t, new, key)
         self._store(replace(t, df=new), touched.count())
         return self._show(touched, t, shown)
 
+    def _without(self, t: Table, gone: DataFrame) -> DataFrame:
+        """The table's rows but those of ``gone``, which are stored; the others stay where they are."""
+        return t.df.select(*t.names(), ROWID).join(gone.select(ROWID), ROWID, "left_anti").select(*t.names(), ROWID)
+
     def _delete(self, p: Parser) -> DataFrame | None:
         t = self._numbered(self._table(p.name()))
         where = p.expr() if p.take("WHERE") else None
         shown = self._returning(p)
         marked, _ = self._rows(t, where)
-        marked = marked.checkpoint()
-        gone = marked.filter("_hit").drop("_hit")
-        self._store(replace(t, df=marked.filter("NOT _hit").drop("_hit")), gone.count())
+        gone = self._kept(marked.filter("_hit").drop("_hit"))
+        left = self._without(t, gone) if where is not None else self.spark.createDataFrame([], t.df.select(*t.names(), ROWID).schema)
+        self._store(replace(t, df=left), gone.count())
         return self._show(gone, t, shown)
 
     def _returning(self, p: Parser) -> list | None:
