@@ -18,9 +18,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Bytes, about, of the words and their ids that one worker remembers per position; at the bound it
-#: forgets them all. Longer words than ``KEPT_CHARS`` are encoded each time.
-CACHE_BYTES, KEPT_CHARS = 48 << 20, 40
+#: Bytes, about, of the words and their ids that one worker remembers per position. At half of them it
+#: starts anew and forgets the half before, but for words that come again. Longer words than
+#: ``KEPT_CHARS`` are encoded each time.
+CACHE_BYTES, KEPT_CHARS = 80 << 20, 40
 #: What a remembered word takes beside its characters and ids, about: two objects and a place in a table.
 _ENTRY = 230
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -42,14 +43,17 @@ class _Words(dict):
 
     def __init__(self, encode, bound: int):
         super().__init__()
-        self.encode, self.bound, self.held = encode, bound, 0
+        self.encode, self.bound, self.held, self.before = encode, bound // 2, 0, {}
 
     def __missing__(self, word: str) -> bytes:
-        got = self.encode(word)
-        if len(word) > KEPT_CHARS or "\n" in word:  # the end of a line and the start of the next: too many to keep
-            return got
+        got = self.before.get(word)
+        if got is None:
+            got = self.encode(word)
+            if len(word) > KEPT_CHARS or "\n" in word:  # the end of a line and the start of the next: too many to keep
+                return got
         self.held += _ENTRY + len(word) + len(got)
         if self.held > self.bound:
+            self.before = dict(self)
             self.clear()
             self.held = 0
         self[word] = got

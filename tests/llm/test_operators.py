@@ -515,6 +515,26 @@ def test_quality_reads_no_held_out_label_and_no_negative(spark, docs):
         assert a.prior == b.prior and all(np.allclose(x, y) for (x, _), (y, _) in zip(a.layers, b.layers, strict=True))
 
 
+def test_quality_matches_plain_features_and_network(spark, docs, texts):
+    model = quality.learn(docs, common.table(spark, SF, "labels"), F.lit(True))
+    (a, b), (c, d) = model.layers
+    for r in quality.score(docs, model).collect()[:40]:
+        raw = (texts[r["doc_id"]] or "").encode()
+        words = bytes(x + 32 if 65 <= x <= 90 else x for x in raw).split()
+        x = [32, *b" ".join(words), 32]
+        of_words, of_triples = np.zeros(quality.WORD_BUCKETS), np.zeros(quality.TRIPLE_BUCKETS)
+        for w in words:
+            of_words[xxhash.xxh3_64_intdigest(w) % quality.WORD_BUCKETS] += 1
+        for i in range(len(x) - 2 if words else 0):
+            of_triples[((x[i] * 65537 + x[i + 1] * 257 + x[i + 2]) * 2246822519 % 2**32) >> 24] += 1
+        hashed = np.sqrt(np.concatenate([of_words / max(1, of_words.sum()), of_triples / max(1, of_triples.sum())]))
+        rows = np.concatenate([quality.statistics(texts[r["doc_id"]]), hashed])
+        scaled = np.clip((rows - model.scale.mean) / model.scale.spread, -8, 8)
+        hidden = [math.tanh(sum(v * w for v, w in zip(scaled, a[:, j], strict=True)) + b[j]) for j in range(a.shape[1])]
+        z = sum(h * w for h, w in zip(hidden, c[:, 0], strict=True)) + d[0]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
 @pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
 def test_quality_prior_is_estimated(share):
     draw = np.random.default_rng(1)
@@ -631,6 +651,33 @@ def test_language_held_out(spark):
     assert found.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def plain_subwords(text):
+    """Counts of hashed byte pairs and triples, one by one."""
+    keep = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").encode()]
+    x = [32, *b" ".join(bytes(keep).split()), 32]
+    out = np.zeros(language_id.BUCKETS)
+    for i in range(len(x) - 1):
+        pair = x[i] * 257 + x[i + 1]
+        out[(pair * 2654435761 % 2**32) >> 21] += 1
+        if i + 2 < len(x):
+            out[((pair * 263 + x[i + 2] + (1 << 24)) % 2**32 * 2246822519 % 2**32) >> 21] += 1
+    return out
+
+
+def test_language_matches_plain_averages(spark, docs, texts):
+    model = language_id.learn(docs, F.lit(True))
+    for r in language_id.identify(docs, model).collect()[:60]:
+        text = texts[r["doc_id"]]
+        if not any(map(str.isalpha, text or "")):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        counts = plain_subwords(text)
+        z = (sum(n * w for n, w in zip(counts, model.weights, strict=True)) / counts.sum() + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r["lang_pred"] == model.languages[p.argmax()] and r["score"] == pytest.approx(p.max(), rel=1e-9)
+        assert r["rejected"] == (r["score"] < model.reject_below)
+
+
 def test_language_odd_tables(spark):
     docs = odd_documents(spark)
     rows = language_id.identify(docs, language_id.learn(docs, F.lit(True))).collect()
