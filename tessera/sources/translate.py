@@ -312,7 +312,10 @@ class Translator:
         if name == "sign":
             return f"t_sign({self.real(a[0], s)})"
         if name == "round":
-            return f"round({self.real(a[0], s)}, {int(a[1].value) if len(a) > 1 else 0})"
+            if len(a) == 1 or a[1].kind == "number":
+                return f"round({self.real(a[0], s)}, {int(float(a[1].value)) if len(a) > 1 else 0})"
+            by = f"power(10D, greatest(CAST({self.number(a[1], s)} AS INT), 0))"  # places below zero are none
+            return f"(round({self.real(a[0], s)} * {by}) / {by})"
         if name in ("ceil", "ceiling", "floor"):
             return self.number(a[0], s) if self._number(a[0], s) == INT else f"t_{name[:5].replace('ceili', 'ceil')}({self.real(a[0], s)})"
         if name == "log":
