@@ -21,7 +21,7 @@ import numpy as np
 #: Bytes, about, of the words and their ids that one worker remembers per position. At half of them it
 #: starts anew and forgets the half before, but for words that come again. Longer words than
 #: ``KEPT_CHARS`` are encoded each time.
-CACHE_BYTES, KEPT_CHARS = 80 << 20, 40
+CACHE_BYTES, KEPT_CHARS = 120 << 20, 40
 #: What a remembered word takes beside its characters and ids, about: two objects and a place in a table.
 _ENTRY = 230
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
