@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, common, language_id, language_model, line_dedup, media, mixing, near_dedup, neighbours, packing, quality
+from . import binary_output, common, language_id, line_dedup, media, mixing, near_dedup, neighbours, packing, quality, word_contexts
 
 
 def vocabulary(name: str) -> str:
@@ -58,8 +58,8 @@ FROM judged GROUP BY doc_id
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score every text by a Pitman-Yor model of the training documents."""
-    return language_model.score(common.table(spark, sf_dir, "documents"), common.fold("doc_id", 7, 2))
+    """Score every text by a Pitman-Yor model of the training documents, with a context for every word."""
+    return word_contexts.score(common.table(spark, sf_dir, "documents"), common.fold("doc_id", 7, 2))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import binary_output, common, language_id, language_model, line_dedup, media, mixing, near_dedup, neighbours, packing, quality
+from tessera.llm import binary_output, common, language_id, language_model, line_dedup, media, mixing, near_dedup, neighbours, packing, quality, word_contexts
 from tessera.llm.queries import ORACLES, QUERIES, vocabulary
 from tessera.llm.shingles import shingle_set, words_of
 from tessera.llm.tokens import Encoder
@@ -497,6 +497,80 @@ def test_language_model_odd_tables(spark):
     assert language_model.score(empty_documents(spark), common.fold("doc_id", 7, 2)).count() == 0
 
 
+def test_language_model_has_a_context_for_every_word(spark, docs, monkeypatch):
+    """Words that differ share no context, in however many slices, rounds, buckets and shards; one bucket of plain counts gives the same scores."""
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    order = [(r["doc_id"], r["text"]) for r in docs.coalesce(1).orderBy("doc_id").collect()]
+    cells, known = collections.Counter(), collections.Counter()
+    for d, t in order:
+        before = None
+        for w in [*words_of(t), b" "]:
+            cells[w, before] += not held(d)
+            known[w] += not held(d)
+            before = w
+    assert len({c for _, c in cells}) > 4096
+    names, classes = sorted(known, key=lambda w: (-known[w], w)), collections.Counter()
+    numbers = {None: 0}
+    for w, c in zip(names, word_contexts.classes_of(names).tolist(), strict=True):
+        numbers[w] = classes[c] << word_contexts.BITS | c
+        classes[c] += 1
+    keys = sorted(cells, key=lambda k: (numbers[k[0]], numbers[k[1]]))
+    per = np.unique([numbers[w] for w, _ in keys], return_counts=True)[1]
+    bucket = word_contexts.WordBucket(0, *(word_contexts.packed(np.array(x)) for x in (per, [numbers[c] for _, c in keys], [cells[k] for k in keys])), 1)
+    share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b)))
+    seen = bucket.seen()
+    customers = bucket._sum(bucket.context, bucket.count, len(bucket.names))
+    model = {"d1": share(*seen[:2]), "d2": share(*seen[2:4]), "d0": share(*seen[4:]), "types": sum(n > 0 for n in known.values()), "customers": customers, "seed": 3}
+    seats, history = [bucket.start()], []
+    for at in range(language_model.SWEEPS + 1):
+        history.append(np.concatenate([bucket._sum(bucket.context, seats[-1][0], len(bucket.names)), bucket.sums(*seats[-1])]))
+        seats.append(bucket.sweep(at, *seats[-1], history[-1], model))
+    p = bucket.predict(seats[:-1], history, model)
+    for c in range(0, len(bucket.names), 500):  # the known words and an unknown one share each context's probability
+        assert p[(bucket.context == c) & (bucket.known[bucket.word] > 0)].sum() < 1
+    logs = dict(zip(keys, np.log10(p), strict=True))
+    want = {}
+    for d, t in order:
+        words = [*words_of(t), b" "]
+        want[d] = (len(words), sum(logs[w, b] for w, b in zip(words, [None, *words[:-1]], strict=True)))
+    one = {r["doc_id"]: r["score"] for r in word_contexts.score(docs, common.fold("doc_id", 7, 2)).collect()}
+    for name, n in {"SLICE_TOKENS": 3000, "FAN_IN": 4, "LEAST_BUCKETS": 5, "CLASS_BYTES": 100_000, "LEAST_SHARDS": 3}.items():
+        monkeypatch.setattr(word_contexts, name, n)
+    cut = {r["doc_id"]: r["score"] for r in word_contexts.score(docs, common.fold("doc_id", 7, 2)).collect()}
+    assert one.keys() == cut.keys() == want.keys()
+    for got in (one, cut):  # seats are drawn by bucket, so scores differ a little
+        assert np.mean([abs(got[d] - s) / n for d, (n, s) in want.items()]) < 0.02
+
+
+def test_language_model_scores_by_the_word_before(spark):
+    """Two words in one hashed context: each is followed by a word of its own."""
+    named = collections.defaultdict(list)
+    for i in range(100_000):
+        named[int(language_model.contexts_of([w := b"%dxyz" % i], 16)[0])].append(w.decode())
+        if len(named[int(language_model.contexts_of([w], 16)[0])]) == 2:
+            a, b = named[int(language_model.contexts_of([w], 16)[0])]
+            break
+    rows = [(i, f"{a} left" if i % 2 else f"{b} right") for i in range(1000, 1400)] + [(1, f"{a} left"), (2, f"{a} right"), (3, f"{b} right"), (4, f"{b} left")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in run_four(spark, table).collect() if r["doc_id"] < 10}
+    assert got[1] > got[2] + 1 and got[3] > got[4] + 1
+
+
+def run_four(spark, table):
+    path = common.work_path(spark, "four")
+    table.write.parquet(f"{path}/documents.parquet")
+    return QUERIES["op4_language_model"](spark, path)
+
+
+def test_word_contexts_odd_tables(spark):
+    assert [word_contexts.unpacked(word_contexts.packed(np.array(x, np.int64))).tolist() for x in ([], [0], [5, 2**40, 0])] == [[], [0], [5, 2**40, 0]]
+    plain = sorted(map(str, language_model.score(odd_documents(spark), common.fold("doc_id", 7, 2)).drop("score", "perplexity", "base_score").collect()))
+    rows = word_contexts.score(odd_documents(spark), common.fold("doc_id", 7, 2))
+    assert sorted(map(str, rows.drop("score", "perplexity", "base_score").collect())) == plain
+    assert all(math.isfinite(r["score"]) for r in rows.collect())
+    assert word_contexts.score(empty_documents(spark), common.fold("doc_id", 7, 2)).count() == 0
+
+
 # 5 quality
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
