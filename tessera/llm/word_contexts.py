@@ -32,7 +32,7 @@ from .shingles import _mixed, words_of
 
 SLICE_TOKENS, FAN_IN, BUCKET_BYTES, LEAST_BUCKETS = 2_000_000, 128, 6_000_000, 48
 #: Bytes of text for which a class numbers its words in one task; buckets for each shard of contexts.
-CLASS_BYTES, SHARD_BUCKETS, LEAST_SHARDS = 16 << 30, 32, 16
+CLASS_BYTES, SHARD_BUCKETS, LEAST_SHARDS = 4 << 30, 12, 16
 #: Classes are the low bits of a word's number.
 BITS = 8
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -97,8 +97,8 @@ def _slices(docs: DataFrame, held: Column, text: str, ways: int) -> DataFrame:
         yield _batch({"kind": 0, "slice": number, "a": ids_raw, "b": packed(sizes), "c": marks.tobytes(), "d": packed(flat), "e": packed(to)}, SLICES)
         order = np.argsort(to, kind="stable")
         buckets, starts = np.unique(to[order], return_index=True)
-        for bucket, here in zip(buckets.tolist(), np.split(order, starts[1:]), strict=True):
-            yield _batch({"kind": 1, "slice": number, "bucket": bucket, "a": hashes[here].astype("<u8").tobytes(), "b": packed(trained[here])}, SLICES)
+        rows = [{"kind": 1, "slice": number, "bucket": bucket, "a": hashes[here].astype("<u8").tobytes(), "b": packed(trained[here])} for bucket, here in zip(buckets.tolist(), np.split(order, starts[1:]), strict=True)]
+        yield from _table(rows, SLICES).to_batches()
 
     def run(batches):
         part, seq, size = TaskContext.get().partitionId(), 0, 0
@@ -239,6 +239,21 @@ class WordBucket(lm.Bucket):
         wide = self._sum(self.mid_word, spread > 0, self.words)
         return [float((x == n).sum()) for x in (self.count, spread, wide) for n in (1, 2)]
 
+    def chance(self, seats: tuple, totals: np.ndarray, customers: np.ndarray, model: dict) -> np.ndarray:
+        """The probability of each cell by one sweep, as ``predict`` averages it, with few arrays as long as the cells."""
+        one, two, top = seats
+        contexts, tables, root, below, above = self._told(totals)
+        base = (self._sum(self.mid_word, two, self.words) - model["d0"] * top + (lm.STRENGTH + model["d0"] * root) / (model["types"] + 1)) / (lm.STRENGTH + above)
+        share = self._sum(self.mid, one, len(self.mid_word)) - model["d2"] * two
+        share += (lm.STRENGTH + model["d2"] * tables[self.mid_class]) * base[self.mid_word]
+        share /= lm.STRENGTH + below[self.mid_class]
+        out = share[self.mid]
+        out *= (lm.STRENGTH + model["d1"] * contexts)[self.context]
+        out -= model["d1"] * one
+        out += self.count
+        out /= (lm.STRENGTH + customers)[self.context]
+        return out
+
     def sent(self, of: np.ndarray):
         """What goes to each shard of what there is of each context."""
         for shard, (lo, hi) in enumerate(zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True)):
@@ -354,8 +369,7 @@ def _score(docs: DataFrame, held_out: Column, text: str, seed: int) -> DataFrame
         for batch in batches:
             for i in range(batch.num_rows):
                 bucket = load(batch.slice(i, 1).to_pylist()[0])
-                for row in _state(bucket, bucket.start(), True):
-                    yield _batch(row, STATE)
+                yield from _table(list(_state(bucket, bucket.start(), True)), STATE).to_batches()
 
     def restored(right: list[dict], bucket: WordBucket, sums: list, at: int) -> tuple[tuple, np.ndarray]:
         """Seats and totals of a sweep."""
@@ -373,13 +387,15 @@ def _score(docs: DataFrame, held_out: Column, text: str, seed: int) -> DataFrame
 
     def predict(sums: list, model: dict, used: range):
         def run(key, left, right):
-            row, right = left.to_pylist()[0], right.to_pylist()
+            row, right = left.select(["bucket", "b", "c", "d"]).to_pylist()[0], right.to_pylist()
             bucket = load(row)
             customers = bucket.got([(r["shard"], r["c"]) for r in right if r["at"] == 0])
-            seats, history = [None] * (lm.SWEEPS + 1), [None] * (lm.SWEEPS + 1)
+            logs = np.zeros(len(bucket.word))
             for at in used:
-                seats[at], history[at] = restored(right, bucket, sums, at)
-            return _dealt(row, bucket.number, np.log10(bucket.predict(seats, history, model | {"customers": customers})).astype("<f4"))
+                logs += bucket.chance(*restored(right, bucket, sums, at), customers, model)
+            number, logs = bucket.number, np.log10(logs / len(used)).astype("<f4")
+            del bucket, right, row, customers  # before the results of all parts are made
+            return _dealt(left.select(["parts", "sizes", "firsts", "cells"]).to_pylist()[0], number, logs)
 
         return run
 

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -526,6 +527,8 @@ def test_language_model_has_a_context_for_every_word(spark, docs, monkeypatch):
         history.append(np.concatenate([bucket._sum(bucket.context, seats[-1][0], len(bucket.names)), bucket.sums(*seats[-1])]))
         seats.append(bucket.sweep(at, *seats[-1], history[-1], model))
     p = bucket.predict(seats[:-1], history, model)
+    used = range(language_model.BURN_IN + 1, language_model.SWEEPS + 1)
+    assert np.allclose(p, np.mean([bucket.chance(seats[i], history[i], customers, model) for i in used], axis=0), rtol=1e-9, atol=0)
     for c in range(0, len(bucket.names), 500):  # the known words and an unknown one share each context's probability
         assert p[(bucket.context == c) & (bucket.known[bucket.word] > 0)].sum() < 1
     logs = dict(zip(keys, np.log10(p), strict=True))
@@ -556,6 +559,22 @@ def test_language_model_scores_by_the_word_before(spark):
     assert got[1] > got[2] + 1 and got[3] > got[4] + 1
 
 
+def test_word_contexts_of_a_hot_word_take_little_memory():
+    """A word that follows very many others: what scores a cell holds few numbers for it."""
+    n = 200_000
+    pack = lambda x: word_contexts.packed(np.asarray(x))
+    bucket = word_contexts.WordBucket(0, pack([n]), pack(np.arange(1, n + 1)), pack(np.full(n, 3)), 4)
+    seats = bucket.start()
+    totals = np.concatenate([bucket._sum(bucket.context, seats[0], n), bucket.sums(*seats)])
+    model = {"d1": 0.6, "d2": 0.5, "d0": 0.7, "types": 1, "customers": np.full(n, 3.0)}
+    whole = bucket.predict([None, None, seats], [None, None, totals], model)
+    tracemalloc.start()
+    got = bucket.chance(seats, totals, model["customers"], model)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, whole) and most < 40 * n
+
+
 def run_four(spark, table):
     path = common.work_path(spark, "four")
     table.write.parquet(f"{path}/documents.parquet")
