@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from contextlib import contextmanager
+from collections.abc import Callable
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +95,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of ``schema``. ``createDataFrame`` would start Python workers of another kind to read none."""
+    return spark.range(1).filter(F.lit(False)).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in schema.split(", "))])
+
+
+_owner: tuple[str, Callable[[], None]] = ("", lambda: None)
+
+
+def remember(name: str, forget: Callable[[], None]) -> None:
+    """Let a worker remember for ``name`` what ``forget`` drops; what it remembered for another name goes.
+
+    Workers serve all stages of an application, so each stage's words would stay beside the next one's.
+    """
+    global _owner
+    if _owner[0] != name:
+        _owner[1]()
+        _owner = (name, forget)
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(column: str, n: int, k: int) -> Column:
     """Whether crc32 of the column as text leaves remainder ``k`` modulo ``n``; false for null."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n == k, F.lit(False))

@@ -228,7 +228,7 @@ class LineIndex:
         paths = [p for k, v in stored.items() if shards is None or k in shards for p in v]
         names = [c.split()[0] for c in schema.split(", ")]
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return common.empty(self.spark, schema)
         return self.spark.read.schema(schema.replace("shard long, ", "shard_ long, ")).parquet(*paths).withColumnRenamed("shard_", "shard").select(*names)
 
     def _write(self, rows: DataFrame, name: str) -> dict[int, list[str]]:
@@ -245,7 +245,7 @@ class LineIndex:
 
     def references(self) -> DataFrame:
         """(digest, doc) of the documents that are in the index."""
-        out = self.spark.createDataFrame([], "digest binary, doc long")
+        out = common.empty(self.spark, "digest binary, doc long")
         for at, refs in self.batches:
             for later, gone in self.gone:
                 if later > at:
@@ -347,7 +347,7 @@ class LineIndex:
             hot = repeated.filter(f"holders > {crowded}").selectExpr("digest", f"holders div {crowded} + 1 AS parts")
             drops = common.salted_join(self._screened(), repeated.select("digest", "owner"), "digest", hot, "doc").filter("doc > owner")
         else:
-            drops = self.spark.createDataFrame([], "digest binary, doc long")
+            drops = common.empty(self.spark, "digest binary, doc long")
         drops = drops.groupBy("doc").agg(F.collect_set("digest").alias(n_drops)).withColumnRenamed("doc", n_doc)
         rows = docs.select(*names, _doc().alias(n_doc))
         crowded = common.hot_rows(rows.count())

@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder
+from .tokens import CACHE_BYTES, encoder
 
 FAN_IN = 64
+#: Pieces after which a task hands on what it has: with their ids, 8 MB in the worker and again in its executor.
+HANDED = 2000
 #: Sequence ids: round, then task, then a count within the task.
 ROUND_BITS, COUNT_BITS = 59, 33
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, task long"
@@ -113,22 +115,23 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, KINDS, strict=True)], schema=KINDS)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, windows: int = 16, keeps_space: bool = True, keep_ids: bool = True, text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, windows: int = 16, keeps_space: bool = True, keep_ids: bool = True, text: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Pack all documents; returns one row per piece.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ``ids`` (the
-    piece's ids as unsigned 32-bit little-endian bytes; null unless ``keep_ids``).
+    piece's ids as unsigned 32-bit little-endian bytes; null unless ``keep_ids``). ``cache_bytes``
+    bounds what a worker remembers of words at each position, not the result.
     """
     tail = np.array([end_id], "<u4").tobytes()
 
     def first(batches):
         task = TaskContext.get().partitionId()
         packer = Packer(length, windows, task << COUNT_BITS, keep_ids)
-        encode = encoder(tokenizer, "<u4", keeps_space).encode
+        encode = encoder(tokenizer, "<u4", keeps_space, cache_bytes).encode
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 packer.add(doc, 0, ids + tail, len(ids) // 4 + 1)
-                if len(packer.done) >= 20_000:
+                if len(packer.done) >= HANDED:
                     yield packer.take()
         packer.leave(task)
         yield packer.take()

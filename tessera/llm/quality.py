@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 N_STATISTICS = len(_PUNCTUATION) + 20
@@ -62,6 +64,7 @@ def hashed(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(WORD_BUCKETS + TRIPLE_BUCKETS)
+    common.remember("quality", _words.clear)
     if len(_words) > WORDS_KEPT:
         _words.clear()
     new = {w: xxhash.xxh3_64_intdigest(w) % WORD_BUCKETS for w in set(words).difference(_words)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import common
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers; any will do.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -28,6 +30,7 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
+    common.remember("shingles", _words.clear)
     if len(_words) > _WORDS_KEPT:
         _words.clear()
     new = {w: xxhash.xxh3_64_intdigest(w) for w in set(words).difference(_words)}

@@ -18,6 +18,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from . import common
+
 #: Bytes, about, of the words and their ids that one worker remembers per position. At half of them it
 #: starts anew and forgets the half before, but for words that come again. Longer words than
 #: ``KEPT_CHARS`` are encoded each time.
@@ -140,9 +142,10 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, dtype: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, dtype: str, keeps_space: bool, cache_bytes: int = CACHE_BYTES) -> Encoder:
     """One encoder per worker process, so that its cache lasts from task to task."""
-    key = (path, dtype, keeps_space)
+    key = (path, dtype, keeps_space, cache_bytes)
+    common.remember(f"tokens {key}", _ENCODERS.clear)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]
